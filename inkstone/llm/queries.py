@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from .quality import op10_quality_rules
+from . import decontam, dedup, quality
 
 QUERIES = {
-    "op10_quality_rules": op10_quality_rules,
+    "op2_minhash_near_dedup": dedup.op2_minhash_near_dedup,
+    "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_benchmark_decontamination": decontam.ORACLE_SQL,
+}
