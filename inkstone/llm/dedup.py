@@ -40,8 +40,8 @@ TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 16, 8, 4, 4
 #: Sets that meet their common partner in one task.
 GROUP = 128
 _SEEDS = np.random.default_rng(20240229)
-_A = _SEEDS.integers(1, 1 << 32, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
-_B = _SEEDS.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
+_A = _SEEDS.integers(0, 1 << 64, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
+_B = _SEEDS.integers(0, 1 << 64, TREES * DEPTH, dtype=np.uint64)
 
 
 def shingle_sets(column: pa.Array, words_per: int) -> Iterator[tuple[object, list[np.ndarray]]]:
