@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, dedup, quality
+from . import decontam, dedup, quality, sharding
 
 QUERIES = {
     "op2_minhash_near_dedup": dedup.op2_minhash_near_dedup,
+    "op4_minimax_sharding": sharding.op4_minimax_sharding,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
     "op10_quality_rules": quality.op10_quality_rules,
 }
