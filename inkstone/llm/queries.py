@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, dedup, quality, sharding
+from . import decontam, dedup, packing, quality, sharding
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_minhash_near_dedup": dedup.op2_minhash_near_dedup,
     "op4_minimax_sharding": sharding.op4_minimax_sharding,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
