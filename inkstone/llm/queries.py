@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontam, dedup, packing, quality, sharding
+from . import decontam, dedup, packing, quality, sharding, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_minhash_near_dedup": dedup.op2_minhash_near_dedup,
+    "op3_warc_roundtrip": warc.op3_warc_roundtrip,
     "op4_minimax_sharding": sharding.op4_minimax_sharding,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc_roundtrip": warc.ORACLE_SQL,
     "op8_benchmark_decontamination": decontam.ORACLE_SQL,
 }
