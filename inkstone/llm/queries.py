@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, dedup, packing, quality, sharding, warc
+from . import decontam, dedup, packing, pii, quality, sharding, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_warc_roundtrip": warc.op3_warc_roundtrip,
     "op4_minimax_sharding": sharding.op4_minimax_sharding,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
+    "op9_personal_data": pii.op9_personal_data,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
