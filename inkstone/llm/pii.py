@@ -247,6 +247,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return seen.select("doc_id", "base", merge("base", "found").alias("spans"))
 
 
+def _is_kind(i: int):
+    return lambda x: x["kind"] == i
+
+
 def _said(spans):
     names = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
@@ -255,5 +259,5 @@ def _said(spans):
 def op9_personal_data(spark, sf_dir: str) -> DataFrame:
     """Query: personal data in all documents."""
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [F.size(F.filter("base", lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
+    counts = [F.size(F.filter("base", _is_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
     return found.select("doc_id", *counts, F.sha2(_said(F.col("base")), 256).alias("base_sha256"), _said(F.col("spans")).alias("spans"))
