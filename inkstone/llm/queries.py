@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, dedup, lines, packing, pii, quality, sharding, warc
+from . import decontam, dedup, lines, packing, pii, quality, quoting, sharding, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_minhash_near_dedup": dedup.op2_minhash_near_dedup,
     "op3_warc_roundtrip": warc.op3_warc_roundtrip,
     "op4_minimax_sharding": sharding.op4_minimax_sharding,
+    "op5_quotation_linking": quoting.op5_quotation_linking,
     "op6_line_dedup": lines.op6_line_dedup,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
     "op9_personal_data": pii.op9_personal_data,
