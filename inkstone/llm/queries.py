@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, dedup, lines, packing, pii, quality, quoting, sharding, warc
+from . import decontam, dedup, licenses, lines, packing, pii, quality, quoting, sharding, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_minimax_sharding": sharding.op4_minimax_sharding,
     "op5_quotation_linking": quoting.op5_quotation_linking,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op7_license_scan": licenses.op7_license_scan,
     "op8_benchmark_decontamination": decontam.op8_benchmark_decontamination,
     "op9_personal_data": pii.op9_personal_data,
     "op10_quality_rules": quality.op10_quality_rules,
