@@ -6,12 +6,11 @@
    partitions that may cut anywhere, hot labels included. Neighbours in this order share the longest prefixes, so each
    document meets its NEIGHBOURS next ones, provided that they share MIN_DEPTH values: in sparse regions that is the whole
    bucket, in dense ones the order goes as deep as the labels do.
-4. Candidates are confirmed on full sets, a few for each component at a time: first each document with its best smaller
-   partner, then one pair for each two components, then whatever candidates still join different components.
-5. The rest: a bucket larger than the neighbourhood that still holds several components is finished exactly. Members
-   outside the bucket's largest component are compared with all members of other components: a 64-byte sketch drops pairs
-   far below the threshold (over 6 standard deviations), full sets decide. Members that are already connected need
-   no more links, so a group of near copies never yields its pairs.
+4. Each document's best smaller partner is confirmed on full sets, which already connects most of a group.
+5. The rest: buckets larger than the neighbourhood that still hold several components are finished exactly, minority against all,
+   in blocks, by an inverted index on full sets (see _finish). Members that are already connected need no more links, so
+   a group of near copies never yields its pairs.
+6. Candidates that still join different components are confirmed as well.
 
 A pair at similarity 0.8 shares MIN_DEPTH values in at least one tree with probability 1 - (1 - 0.8**4)**16 = 0.9998.
 Shingles are 64-bit hashes of the words' bytes.
@@ -39,6 +38,8 @@ from ._store import bound_arrow_batches, broadcast_if_small, join_hot, materiali
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 16, 8, 4, 4
 #: Sets that meet their common partner in one task.
 GROUP = 128
+#: Documents in a block of the exact comparison of large buckets.
+BLOCK = 512
 _SEEDS = np.random.default_rng(20240229)
 _A = _SEEDS.integers(0, 1 << 64, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
 _B = _SEEDS.integers(0, 1 << 64, TREES * DEPTH, dtype=np.uint64)
@@ -150,6 +151,22 @@ def _forest(reps: DataFrame) -> DataFrame:
     return ordered.mapInArrow(scan, schema)
 
 
+def _sets_of(docs: DataFrame, by_doc: DataFrame, rows: int, row_bytes: int, words_per: int) -> DataFrame:
+    """(doc_id, roles, items): the shingle sets, as bytes, of the documents in by_doc (doc_id, roles), made anew from their texts."""
+    wanted = docs.join(broadcast_if_small(by_doc, rows, row_bytes), "doc_id").select("doc_id", "text", "roles")
+    kind = by_doc.schema["roles"].dataType.simpleString()
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, sets in shingle_sets(batch.column(1), words_per):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(block.first, block.rows), batch.column(2).slice(block.first, block.rows), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["doc_id", "roles", "items"],
+                )
+
+    return wanted.mapInArrow(make, f"doc_id long, roles {kind}, items binary")
+
+
 def _confirm(docs: DataFrame, pairs: DataFrame, words_per: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union.
 
@@ -163,22 +180,12 @@ def _confirm(docs: DataFrame, pairs: DataFrame, words_per: int, percent: int) ->
     roles = grouped.select(F.col("v").alias("doc_id"), "u", "chunk").unionByName(grouped.select(F.col("u").alias("doc_id"), "u", "chunk").distinct())
     roles = materialise(roles, "roles")
     # a document's groups as one array, so that its set is made once
-    by_doc = roles.groupBy("doc_id").agg(F.collect_list(F.struct("u", "chunk")).alias("groups")) if n else roles.select("doc_id", F.array(F.struct("u", "chunk")).alias("groups"))
-    wanted = docs.join(broadcast_if_small(by_doc, 2 * n, 64), "doc_id")
+    by_doc = roles.groupBy("doc_id").agg(F.collect_list(F.struct("u", "chunk")).alias("roles"))
+    sets = _sets_of(docs, by_doc, 2 * n, 32, words_per)
+    placed = sets.select(F.explode("roles").alias("g"), "doc_id", "items").select("g.u", "g.chunk", "doc_id", "items")
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, sets in shingle_sets(batch.column(1), words_per):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.first, block.rows), batch.column(2).slice(block.first, block.rows), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["doc_id", "groups", "items"],
-                )
-
-    sets = wanted.select("doc_id", "text", "groups").mapInArrow(make, "doc_id long, groups array<struct<u:long,chunk:int>>, items binary")
-    placed = sets.select(F.explode("groups").alias("g"), "doc_id", "items").select("g.u", "g.chunk", "doc_id", "items")
-
-    def compare(key, frame: pd.DataFrame) -> pd.DataFrame:
-        u = int(key[0])
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        u = int(frame["u"].iloc[0])
         sets_ = [np.frombuffer(x, np.uint64) for x in frame["items"]]
         hubs = [s for s, i in zip(sets_, frame["doc_id"], strict=True) if i == u]
         found = []
@@ -207,27 +214,54 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.where("cu <> cv")
 
 
-def _sketch_pairs(members: DataFrame, sketches: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """The rest: pairs of minority members and members of other components in each unfinished bucket, within the size bounds and not ruled out by sketches."""
-    sizes = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    full = members.join(main, "key")
-    full = full.join(sketches, full.u == sketches.doc_id).drop("doc_id")
-    small = full.where("c <> main").select("key", F.col("u").alias("a"), F.col("c").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    other = full.select("key", F.col("u").alias("b"), F.col("c").alias("cb"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col("main"))
-    # two minority members meet once
-    joined = small.join(other, "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))))
-    joined = joined.where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, 64)
-            y = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, 64)
-            keep = pa.array((x == y).sum(axis=1) >= 64 * (percent / 100 - 0.31))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
+def _finish(docs: DataFrame, members: DataFrame, words_per: int, percent: int) -> DataFrame:
+    """The rest: links (u, v) between members of different components in large buckets, decided exactly.
 
-    pairs = joined.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), "sa", "sb").mapInArrow(near, "u long, v long").distinct()
-    return pairs.join(tested, ["u", "v"], "left_anti")
+    Buckets (key) whose largest component is the same make one region, so a group of near copies is one region, whatever
+    the number of trees. Members outside the largest component (the minority) are compared with all members, in blocks of both:
+    a task holds an inverted index of one block of sets and looks up another block's. Of a document's links to one component
+    it yields the first, so the links are at most one for each minority document and component.
+    """
+    sizes = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "c"))["c"].alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    region = materialise(members.join(main, "key").select("main", "u", "c").distinct(), "regions")
+    count = region.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all"), F.ceil(F.sum((F.col("c") != F.col("main")).cast("long")) / BLOCK).cast("int").alias("few")).where("few > 0")
+    placed = region.join(count, "main")
+    as_all = F.struct("main", "c", F.lit(1).alias("side"), F.pmod(F.xxhash64("u"), F.col("all")).cast("int").alias("own"), F.col("few").alias("others"))
+    as_few = F.struct("main", "c", F.lit(0).alias("side"), F.pmod(F.xxhash64("u"), F.col("few")).cast("int").alias("own"), F.col("all").alias("others"))
+    roles = placed.select(F.col("u").alias("doc_id"), F.explode(F.when(F.col("c") != F.col("main"), F.array(as_few, as_all)).otherwise(F.array(as_all))).alias("r"))
+    roles = materialise(roles, "roles")
+    by_doc = roles.groupBy("doc_id").agg(F.collect_list("r").alias("roles"))
+    sets = _sets_of(docs, by_doc, roles.count(), 64, words_per)
+    rows = sets.select("doc_id", "items", F.explode("roles").alias("r")).select("doc_id", "items", "r.*")
+    rows = rows.select("main", "c", "side", "doc_id", "items", "own", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
+    rows = rows.select("main", "c", "side", "doc_id", "items", F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("other")).alias("i"), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("own")).alias("j"))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        out_u, out_v = [], []
+        few, every = frame[frame["side"] == 0], frame[frame["side"] == 1]
+        sets_ = [np.frombuffer(x, np.uint64) for x in every["items"]]
+        if len(few) and len(every):
+            size = np.array([len(x) for x in sets_])
+            owner = np.repeat(np.arange(len(sets_)), size)
+            flat = np.concatenate(sets_)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            ids, comps = every["doc_id"].to_numpy(), every["c"].to_numpy()
+            for i, c, x in zip(few["doc_id"], few["c"], few["items"], strict=True):
+                own = np.frombuffer(x, np.uint64)
+                a, b = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                n = b - a
+                at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(sets_))
+                hit = np.flatnonzero((100 * common >= percent * (len(own) + size - common)) & (comps != c) & (common > 0))
+                _, one = np.unique(comps[hit], return_index=True)
+                out_u += [i] * len(one)
+                out_v += ids[hit[one]].tolist()
+        pairs = pd.DataFrame({"u": out_u, "v": out_v}, columns=["u", "v"]).astype("int64")
+        return pd.DataFrame({"u": pairs.min(axis=1), "v": pairs.max(axis=1)}).astype("int64")
+
+    return rows.groupBy("main", "i", "j").applyInPandas(compare, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per: int = 5, percent: int = 80) -> DataFrame:
@@ -247,22 +281,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = materialise(_confirm(base, tested, words_per, percent), "links")
     labels = materialise(connected_components(links), "labels")
 
-    def again(pairs: DataFrame) -> None:
-        nonlocal tested, links, labels
-        now = materialise(pairs, "tested")
-        if now.isEmpty():
-            return
-        tested = tested.unionByName(now)
-        links = links.unionByName(materialise(_confirm(base, now, words_per, percent), "links"))
-        labels = materialise(connected_components(links), "labels")
-
-    open_ = _across(scored.join(tested, ["u", "v"], "left_anti"), labels)
-    again(open_.groupBy(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")).agg(F.max_by(F.struct("u", "v"), F.struct("score", -F.col("u"), -F.col("v"))).alias("p")).select("p.u", "p.v"))
-    again(_across(scored.join(tested, ["u", "v"], "left_anti"), labels).select("u", "v"))
     members = found.where("kind = 1").select("key", "u").distinct().join(labels.select(F.col("node").alias("u"), F.col("component").alias("c")), "u", "left").withColumn("c", F.coalesce("c", "u"))
-    sketch = F.concat(*(F.substring("sig", 4 + 8 * k, 1) for k in range(64)))
-    sketches = reps.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles"), F.min(sketch).alias("sketch"))
-    again(_sketch_pairs(members, sketches, tested, percent))
+    more = materialise(_finish(base, members, words_per, percent), "links")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = materialise(connected_components(links), "labels")
+    left = materialise(_across(scored.join(tested, ["u", "v"], "left_anti"), labels).select("u", "v"), "tested")
+    if not left.isEmpty():
+        links = links.unionByName(materialise(_confirm(base, left, words_per, percent), "links"))
+        labels = materialise(connected_components(links), "labels")
 
     # a class without links has its representative as component
     named = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", "n", F.coalesce("component", "rep").alias("component_id"))
