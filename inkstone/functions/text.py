@@ -192,7 +192,7 @@ def has_unclosed_bracket(t: Column) -> Column:
         closer = matching_closer(c)
         return F.when(due == "!", due).when(closer != "", F.concat(closer, due)).when(F.left(due, F.lit(1)) == c, F.substring(due, F.lit(2), F.length(due))).otherwise(F.lit("!"))
 
-    return F.when(only == "", F.lit(False)).otherwise(F.aggregate(F.split(only, "(?!^)"), F.lit(""), step) != "")
+    return F.when(only == "", F.lit(False)).otherwise(F.aggregate(F.split(only, ""), F.lit(""), step) != "")
 
 
 def _depth_fails(only: Column, opener: Column, wrap: int | None = None) -> Column:
@@ -202,7 +202,7 @@ def _depth_fails(only: Column, opener: Column, wrap: int | None = None) -> Colum
         up = depth + 1 if wrap is None else F.pmod(depth + 1, F.lit(wrap))
         return F.when(depth < 0, depth).when(c == opener, up).otherwise(depth - 1)
 
-    return F.when(only == "", F.lit(False)).otherwise(F.aggregate(F.split(only, "(?!^)"), F.lit(0), step) != 0)
+    return F.when(only == "", F.lit(False)).otherwise(F.aggregate(F.split(only, ""), F.lit(0), step) != 0)
 
 
 def has_unclosed_quote(t: Column) -> Column:
@@ -216,7 +216,7 @@ def has_unclosed_quote(t: Column) -> Column:
 def is_type_balanced(t: Column, opener: Column) -> Column:
     """Whether the brackets of the opener's kind balance; true for what opens nothing."""
     closer = matching_closer(opener)
-    kept = F.array_join(F.filter(F.split(t, "(?!^)"), lambda c: (c == opener) | (c == closer)), "")
+    kept = F.array_join(F.filter(F.split(t, ""), lambda c: (c == opener) | (c == closer)), "")
     return (closer == "") | ~_depth_fails(kept, opener)
 
 
@@ -226,7 +226,7 @@ def dialog_depths(lines: Column) -> Column:
     kind = "struct<now:array<int>,all:array<array<int>>>"
 
     def counted(now: Column, line: Column) -> Column:
-        return F.array(*(F.aggregate(F.split(F.regexp_replace(line, f"[^{a}{b}]", ""), "(?!^)"), now[k], _counter(a, b)) for k, (a, b) in enumerate(cs.DIALOG_PAIRS)))
+        return F.array(*(F.aggregate(F.split(F.regexp_replace(line, f"[^{a}{b}]", ""), ""), now[k], _counter(a, b)) for k, (a, b) in enumerate(cs.DIALOG_PAIRS)))
 
     def fold(acc: Column, line: Column) -> Column:
         now = counted(acc["now"], line)
