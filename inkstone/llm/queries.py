@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": dedup.ORACLE_SQL,
     "op3_warc_roundtrip": warc.ORACLE_SQL,
     "op8_benchmark_decontamination": decontam.ORACLE_SQL,
 }
