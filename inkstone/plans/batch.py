@@ -63,19 +63,19 @@ def plan(files: DataFrame, job: Job, convert: Callable[[Column], Column] | None
     rows = rows.withColumn("out_path", F.when(F.col("route") == "pdf", pdf_output_path(job.out_dir, F.col("base"), config)).when(F.col("route") != "unsupported", output_path(job.out_dir, F.col("base"), config, F.col("ext"))))
     same = (F.col("route") != "pdf") & (F.col("path") == F.col("out_path"))
     rows = rows.withColumn("status", F.when(~F.col("exists"), F.lit("not_found")).when(F.col("route") == "unsupported", F.lit("unsupported")).when(same, F.lit("same_path")).otherwise(F.lit("ready")))
-    key = F.when(F.col("status") == "ready", F.col("out_path"))
+    # rows that write nothing are groups of their own, not one large group
+    key = F.when(F.col("status") == "ready", F.col("out_path")).otherwise(F.concat(F.lit("\n"), F.col("ord").cast("string")))
     last = F.max("ord").over(Window.partitionBy(key))
     return rows.withColumn("wins", (F.col("status") == "ready") & (F.col("ord") == last))
 
 
 def log_lines(rows: DataFrame) -> DataFrame:
-    """ord, status and the log line of planned or finished rows."""
-    idx = F.row_number().over(Window.orderBy("ord")) if "idx" not in rows.columns else F.col("idx")
+    """ord (from 0), status and the log line of planned or finished rows."""
     shown = F.when(F.col("status").isin("not_found", "unsupported", "read_error", "empty"), F.col("path")).otherwise(F.col("out_path"))
     said = F.create_map(*(F.lit(x) for kv in MESSAGES.items() for x in kv))
     status = F.when((F.col("status").isin("ready", "done")) & (F.col("route") == "text") & (F.col("ext") == ""), F.lit("done_no_ext")).when(F.col("status") == "ready", F.lit("done")).otherwise(F.col("status"))
-    rows = rows.withColumn("idx", idx).withColumn("_status", status)
-    return rows.select("ord", F.col("_status").alias("status"), F.concat(F.col("idx").cast("string"), F.lit(": "), shown, F.lit(" -> "), said[F.col("_status")]).alias("line"))
+    rows = rows.withColumn("_status", status)
+    return rows.select("ord", F.col("_status").alias("status"), F.concat((F.col("ord") + 1).cast("string"), F.lit(": "), shown, F.lit(" -> "), said[F.col("_status")]).alias("line"))
 
 
 def ordered_list(current: DataFrame, added: DataFrame) -> DataFrame:
@@ -112,3 +112,28 @@ def run_batch(files: DataFrame, job: Job, convert: Callable[[Column], Column], c
     finished = planned.drop("status").join(out.select("ord", F.col("status").alias("done")), "ord", "left").join(planned.select("ord", "status"), "ord")
     finished = finished.withColumn("status", F.coalesce("done", "status"))
     return out.where("status = 'done'").drop("status"), log_lines(finished)
+
+
+def append_list(current: DataFrame, added: DataFrame) -> DataFrame:
+    """A file list after a drop: unseen paths at the end, in their order. current: pos, path; added: ord, path."""
+    fresh = added.join(current.select("path"), "path", "left_anti").groupBy("path").agg(F.min("ord").cast("long").alias("k"))
+    both = current.select("path", F.lit(0).alias("zone"), F.col("pos").cast("long").alias("k")).unionByName(fresh.select("path", F.lit(1).alias("zone"), "k"))
+    return both.select((F.row_number().over(Window.orderBy("zone", "k")) - 1).alias("pos"), "path")
+
+
+def remove_from_list(current: DataFrame, removed: DataFrame) -> DataFrame:
+    """A file list without the given paths, numbered anew."""
+    return current.join(removed.select("path"), "path", "left_anti").select((F.row_number().over(Window.orderBy("pos")) - 1).alias("pos"), "path")
+
+
+def convert_selection(t: Column, start: int, length: int | None, convert: Callable[[Column], Column]) -> Column:
+    """Converts a span of the text (start from 0), or the whole if there is no span; blank text stays as it is."""
+    if length is None:
+        return F.when(tx.trim_ws(t) == "", t).otherwise(convert(t))
+    return F.concat(F.left(t, F.lit(start)), convert(F.substring(t, F.lit(start + 1), F.lit(length))), F.substring(t, F.lit(start + length + 1), F.length(t)))
+
+
+def preview(files: DataFrame, limit: int = 1) -> DataFrame:
+    """(path, text) of the first text-like files; others say that they are none."""
+    text = tx.normalize_newlines(tx.decode_lenient(F.col("content")))
+    return files.limit(limit).select("path", F.when(fs.is_text_like(fs.extension(F.col("path"))), text).otherwise(F.lit("Not a valid text file.")).alias("text"))

@@ -369,7 +369,26 @@ _register(
     _sql_lines() + f", k AS (SELECT {_SID}, repeat(left(line, CAST(doc_id % 12 AS INTEGER)), part_no % 5) AS t FROM l) SELECT {_SID}, {_unit} AS token FROM k",
 )
 _register("collapse_repeats", lambda spark, sf: cjk_lines(spark, sf).select(*_ID, ln.collapse_repeats(F.concat_ws(" ", "line", "line", "line", F.lit("x"))).alias("line")))
-_register("dialog_depths", lambda spark, sf: _read(spark, sf, "documents").select("doc_id", F.posexplode(tx.dialog_depths(tx.split_lines(F.translate(F.lower("text"), _FROM, _TO)))).alias("line_no", "depths")).select("doc_id", "line_no", *(F.col("depths")[k].alias(f"d{k}") for k in range(6))))
+def _depths(spark: SparkSession, sf: str) -> DataFrame:
+    t = tx.split_lines(F.translate(F.lower("text"), _FROM, _TO))
+    return _read(spark, sf, "documents").select("doc_id", F.posexplode(tx.dialog_depths(t)).alias("line_no", "d")).select("doc_id", "line_no", *(F.col("d")[k].alias(f"d{k}") for k in range(len(cs.DIALOG_PAIRS))))
+
+
+def _depths_sql() -> str:
+    """A counter that stops at zero is a running sum less its running minimum below zero."""
+    pairs = list(enumerate(cs.DIALOG_PAIRS))
+    kept = ", ".join(f"'{c}'" for _, q in pairs for c in q)
+    sums = ", ".join(f"sum(CASE c WHEN '{a}' THEN 1 WHEN '{b}' THEN -1 ELSE 0 END) OVER o AS s{k}" for k, (a, b) in pairs)
+    least = ", ".join(f"min(s{k}) OVER o AS m{k}" for k, _ in pairs)
+    depth = ", ".join(f"CAST(s{k} - least(0, m{k}) AS INTEGER) AS d{k}" for k, _ in pairs)
+    return f"""WITH t AS (SELECT doc_id, string_split(translate(lower(text), '{_FROM}', '{_TO}') || chr(10), '') AS a FROM documents),
+e AS (SELECT * FROM (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS c FROM t) WHERE c IN (chr(10), {kept})),
+s AS (SELECT *, {sums} FROM e WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT *, {least} FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS line_no, {depth} FROM m WHERE c = chr(10)"""
+
+
+_register("dialog_depths", _depths, _depths_sql())
 
 # --- reflow ----------------------------------------------------------------------------------------------------------
 
@@ -459,7 +478,7 @@ _register("batch_plan", _plan, _SPLAN + "SELECT * FROM p")
 _says = "CASE st " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in bt.MESSAGES.items()) + " END"
 _register(
     "batch_log",
-    lambda spark, sf: bt.log_lines(_plan(spark, sf).withColumn("idx", F.col("ord") + 1)),
+    lambda spark, sf: bt.log_lines(_plan(spark, sf)),
     _SPLAN
     + f""", q AS (SELECT *, CASE WHEN status = 'ready' AND route = 'text' AND ext = '' THEN 'done_no_ext' WHEN status = 'ready' THEN 'done' ELSE status END AS st FROM p)
 SELECT ord, st AS status, (ord + 1) || ': ' || CASE WHEN st IN ('not_found', 'unsupported') THEN path ELSE out_path END || ' -> ' || {_says} AS line FROM q""",

@@ -85,6 +85,11 @@ def route(ext: Column) -> Column:
 # --- PDF -------------------------------------------------------------------------------------------------------------
 
 
+def decode_utf16le(data: bytes) -> str:
+    """A decoder's UTF-16 page text; lone surrogates become U+FFFD, a terminator is dropped."""
+    return data.decode("utf-16-le", "replace").removesuffix("\0")
+
+
 def decode_pdfs(files: DataFrame, decoder: Callable[[bytes], list[str]], id_col: str = "path") -> DataFrame:
     """One row per page: id, page_no from 1, page_count, text, error. A document that fails gives one row with an error and no text."""
     source = files.select(F.col(id_col).alias("id"), "content")
@@ -119,6 +124,7 @@ def write_files(rows: DataFrame, path_col: str = "out_path", data_col: str = "da
             for path, data in frame.itertuples(index=False):
                 part = f"{path}.part-{os.getpid()}"
                 try:
+                    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
                     with open(part, "wb") as f:
                         f.write(bytes(data or b""))
                     os.replace(part, path)

@@ -152,3 +152,15 @@ def test_streaming(spark, tmp_path):
     (tmp_path / "in" / "b.exe").write_text("x")
     stream_text(spark, str(tmp_path / "in"), lambda c: F.translate(c, "汉", "漢"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["漢"]
+
+
+def test_list_edits_and_selection(spark):
+    now = spark.createDataFrame([(0, "a.txt"), (1, "b.pdf")], "pos int, path string")
+    new = spark.createDataFrame([(0, "c.pdf"), (1, "a.txt"), (2, "d")], "ord int, path string")
+    assert [r.path for r in bt.append_list(now, new).orderBy("pos").collect()] == ["a.txt", "b.pdf", "c.pdf", "d"]
+    assert [tuple(r) for r in bt.remove_from_list(now, new).collect()] == [(0, "b.pdf")]
+    assert values(spark, ["汉汉汉", " "], lambda t: bt.convert_selection(t, 1, 1, lambda c: F.translate(c, "汉", "漢"))) == [("汉漢汉",), (" ",)]
+    assert values(spark, ["汉汉"], lambda t: bt.convert_selection(t, 0, None, lambda c: F.translate(c, "汉", "漢"))) == [("漢漢",)]
+    files = spark.createDataFrame([("a.exe", b"x")], "path string, content binary")
+    assert bt.preview(files).first()["text"] == "Not a valid text file."
+    assert fs.decode_utf16le("汉\0".encode("utf-16-le")) == "汉" and fs.decode_utf16le(b"\x00\xd8a\x00") == "\ufffda"
