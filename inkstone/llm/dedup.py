@@ -307,8 +307,8 @@ def op2_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 def stage_near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each near-duplicate group stays (five-word shingles); of rows that repeat its doc_id, all stay."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = materialise(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "dropped")
+    return docs.join(broadcast_if_small(dropped, dropped.count(), 16), "doc_id", "left_anti").select(*docs.columns)
 
 
 #: Quadratic in the documents that share a shingle: for small tables, as an oracle of op2.
