@@ -350,13 +350,12 @@ def test_quotations(spark):
 # --- lines -----------------------------------------------------------------------------------------------------------
 
 
-def test_line_dedup(docs, none):
-    texts = make_texts()
-    table = {(r.doc_id, r.line_no): r.sim for r in lines.line_table(docs, "doc_id", "text").collect()}
+def brute_lines(texts, table):
+    """The texts (by id) without duplicate lines, given the SimHash of each (id, line)."""
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
     first, sims = {}, {}
-    for i, t in enumerate(texts):
-        for k, x in enumerate(t.split("\n") if t is not None else []):
+    for i in sorted(texts):
+        for k, x in enumerate(texts[i].split("\n") if texts[i] is not None else []):
             if norm(x):
                 first.setdefault(norm(x), (i, k))
                 sims[norm(x)] = table[i, k] & (2**64 - 1)
@@ -383,14 +382,34 @@ def test_line_dedup(docs, none):
             if (sims[a] ^ sims[b]).bit_count() <= 3 and 100 * min(len(a), len(b)) >= 80 * n and distance(a, b) <= n * 20 // 100:
                 x, y = sorted((find(a), find(b)), key=first.get)
                 parent[y] = x
-    got = by_id(lines.dedup_lines(docs))
-    for i, t in enumerate(texts):
-        want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not norm(x) or first[find(norm(x))] == (i, k))
-        assert {r.text for r in got[i]} == {want}, i
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not norm(x) or first[find(norm(x))] == (i, k)) for i, t in texts.items()}
+
+
+def test_line_dedup(docs, none):
+    texts = dict(enumerate(make_texts()))
+    table = {(r.doc_id, r.line_no): r.sim for r in lines.line_table(docs, "doc_id", "text").collect()}
+    want, got = brute_lines(texts, table), by_id(lines.dedup_lines(docs))
+    assert {i: {r.text for r in rows} for i, rows in got.items()} == {i: {t} for i, t in want.items()}
     assert sum(map(len, got.values())) == docs.count() and lines.dedup_lines(docs).columns == [*docs.columns, "n_lines_removed"]
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_simhash_of_long_lines(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"v{rng.randrange(5000)}" for _ in range(n)) for n in (1, 2, 511, 512, 1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = sorted({w for t in texts for w in t.split()})
+    hashed = {r.w: r.h & (2**64 - 1) for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) AS h").collect()}
+    for r in lines.line_table(df, "doc_id", "text").collect():
+        h = [hashed[w] for w in set(texts[r.doc_id].split())]
+        top = max(h, key=lambda x: x - 2**64 if x >> 63 else x)
+        want = 0
+        for b in range(64):
+            n = sum(x >> b & 1 for x in h)
+            want |= (2 * n > len(h) or 2 * n == len(h) and top >> b & 1) << b
+        assert r.sim & (2**64 - 1) == want
+
+
 # --- licences --------------------------------------------------------------------------------------------------------
 
 
