@@ -410,6 +410,35 @@ def test_simhash_of_long_lines(spark):
         assert r.sim & (2**64 - 1) == want
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_line_dedup_finds_what_edit_distance_finds(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    han = lambda n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+    texts = ["die.", "doie.", "abcdefgh", "abcdefghxy", "supercalifragilistic", "supercalifragilixtic"]
+    for n in (5, 10, 10, 20, 20, 30, 50, 100):
+        w = [word() for _ in range(n)]
+        texts.append(" ".join(w))
+        w[rng.randrange(n)] = word()
+        texts.append(" ".join(w))
+    for n in (12, 30, 60, 200):
+        x = han(n)
+        texts += [x, x[: n // 2] + "\u3042" + x[n // 2 + 1 :]]
+    alike = lambda a, b: 100 * edit_distance(a, b) <= 20 * max(len(a), len(b))
+    want = {j for j, b in enumerate(texts) if any(alike(a, b) for a in texts[:j])}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in lines.dedup_lines(df).collect() if r.n_lines_removed} == want and len(want) > 12
+
+
 # --- licences --------------------------------------------------------------------------------------------------------
 
 
