@@ -131,6 +131,23 @@ def test_bands():
     assert quality._measure(prose[:4096] + b"a" * 12288, limits, packer)[3] is not None
 
 
+def test_bands_reject_repeats_base64_and_random_letters():
+    limits, packer = quality.Limits(), __import__("zstandard").ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
+    rng = random.Random(3)
+    prose = re.sub(r"\s+", " ", " ".join(t for _, t in licenses.TEMPLATES if len(t) > 300)).encode()
+    verdict = lambda raw: quality._measure(raw, limits, packer)[3]
+    for n in (500, 900, 1800, 3000):
+        assert verdict(prose[:n]) is None
+    for n in (900, 3000, 9000, 40000):
+        assert verdict((prose[:120] * n)[:n]) == "repetitive"
+        assert verdict(__import__("base64").b64encode(rng.randbytes(n))[:n]) == "incompressible"
+    for n in (1500, 3000, 9000, 40000):
+        assert verdict("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)).encode()) == "incompressible"
+        assert verdict("".join(chr(0x4E00 + rng.randrange(2500)) for _ in range(n // 3)).encode()) is None
+    words = " ".join(rng.choice(WORDS) for _ in range(900)).encode()[:4096]
+    assert verdict(words + __import__("base64").b64encode(rng.randbytes(6144))) is not None
+
+
 # --- near duplicates -------------------------------------------------------------------------------------------------
 
 
