@@ -2,8 +2,10 @@
 
 A document is scanned whole, line by line and paragraph by paragraph (blank lines apart). A unit with b distinct bigrams can reach
 a Dice coefficient of t with a template of c only if min(b, c) >= t / (2 - t) * max(b, c); so units are measured first
-and meet only the templates within these bounds, and of those only the ones that share a bigram. Row-local: one pass, no shuffle;
-the templates are a fixed list.
+and meet only the templates within these bounds, and of those only the ones that share a bigram. Notices inside a line or over
+several paragraphs are found by windows of words: where a document has enough of a template's bigrams, windows from the least to the greatest size
+that can match are placed where they hold most of them and cut back to the first and the last. A window counts where it overlaps no better match and
+none of the same licence. Row-local: one pass, no shuffle; the templates are a fixed list and the full texts in license_texts.
 
 Normalisation: ASCII lower case, words of letters, digits and non-ASCII characters; so punctuation, line breaks and
 comment marks do not count. Templates may have placeholders (years, holders) that simply cost a few bigrams.
@@ -14,6 +16,7 @@ sorts first wins; repeated units count each; a very long text is scanned whole;
 
 from __future__ import annotations
 
+import pkgutil
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +56,10 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    *((n, pkgutil.get_data(__package__, f"license_texts/{n}.txt").decode()) for n in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0")),
 )
+#: Window sizes, in parts of a template's words.
+SIZES = (2 / 3, 0.8, 1, 1.25, 1.5)
 
 
 def bigram_sets(words: np.ndarray, first: np.ndarray, chosen: np.ndarray) -> list[np.ndarray]:
@@ -71,13 +77,15 @@ class Templates:
 
     def __init__(self, templates, dice: float):
         self.names = [n for n, _ in templates]
-        self.sets = []
+        self.sets, self.words = [], []
         for block in blocks(pa.array([t for _, t in templates], pa.string()), lower=True):
             starts, ends, first = block.spans(ALNUM)
             self.sets += bigram_sets(block.hashes(starts, ends), first, np.arange(block.rows))
+            self.words += np.diff(first).tolist()
         self.dice, self.ratio = dice, dice / (2 - dice)
         self.sizes = np.array([len(s) for s in self.sets])
         self.bigrams = np.unique(np.concatenate(self.sets))
+        self.has = np.array([np.isin(self.bigrams, x) for x in self.sets]).T  # bigram x template
 
     def best(self, unit: np.ndarray) -> tuple[str, float] | None:
         n = len(unit)
@@ -91,6 +99,43 @@ class Templates:
         return (min(found)[1], -min(found)[0]) if found else None
 
 
+def windows(known: Templates, slots: np.ndarray, pairs: np.ndarray) -> list[tuple[float, str, int, int]]:
+    """(-score, license, first word, end) of the windows of a document that match a template, best first, none overlapping.
+
+    `slots` has for each bigram of the document its place in known.bigrams, or -1; `pairs` has its hash.
+    """
+    telling = np.flatnonzero(slots >= 0)
+    mine = slots[telling]
+    found = []
+    for t in np.flatnonzero(known.has[mine].sum(axis=0) >= known.ratio * known.sizes):
+        inside = known.has[mine, t]
+        at, kind = telling[inside], mine[inside]
+        c, least = known.sizes[t], known.ratio * known.sizes[t]
+        if len(np.unique(kind)) < least:
+            continue
+        for part in SIZES:
+            size = max(1, round(part * (known.words[t] - 1)))
+            # the best window begins at one of the template's bigrams
+            count = np.searchsorted(at, at + size) - np.arange(len(at))
+            while count.max() >= least:
+                k = int(count.argmax())
+                n = int(count[k])
+                a, b = int(at[k]), int(at[k + n - 1]) + 1
+                common = len(np.unique(kind[k : k + n]))
+                total = len(np.unique(pairs[a:b]))
+                good = 2 * common >= known.dice * (total + c)
+                if good:
+                    found.append((-2 * common / (total + c), known.names[t], a, b + 1))
+                # windows that begin nearby hold about the same; after a match, all that overlap it are passed over
+                near = size if good else max(1, size // 16)
+                count[np.searchsorted(at, a - near, "right") : np.searchsorted(at, a + near)] = 0
+    taken = []
+    for w in sorted(found, key=lambda w: (w[0], w[2] - w[3], w[1])):
+        if all(w[3] <= x[2] or w[2] >= x[3] for x in taken):
+            taken.append(w)
+    return taken
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, dice: float = DICE) -> DataFrame:
     """One row per document: doc_id, license (of the best match), score, n_matches, and matches (unit, start and end in bytes, license, score)."""
     bound_arrow_batches(docs.sparkSession)
@@ -106,7 +151,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 # a word that begins a bigram of some template
                 slot = np.minimum(np.searchsorted(known.bigrams, pairs), len(known.bigrams) - 1)
                 telling = np.zeros(len(words) + 1, np.int64)
-                telling[at[known.bigrams[slot] == pairs] + 1] = 1
+                equal = known.bigrams[slot] == pairs
+                telling[at[equal] + 1] = 1
+                places = np.full(len(words), -1, np.int64)
+                places[at[equal]] = slot[equal]
+                spread = np.zeros(len(words), pairs.dtype)
+                spread[at] = pairs
                 telling = np.cumsum(telling)
                 l_starts, l_ends, l_first = block.lines()
                 w_first = np.searchsorted(starts, l_starts)
@@ -126,10 +176,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     base = block.off[row]
                     la, lb = int(l_first[row]), int(l_first[row + 1])
                     weigh("document", row, 0, block.off[row + 1] - base, first[row], first[row + 1])
-                    if lb - la < 2:
-                        continue
                     opened = None
-                    for i in range(la, lb + 1):
+                    for i in range(la, lb + 1) if lb - la > 1 else ():
                         blank = i == lb or w_first[i] == w_last[i]
                         if not blank:
                             weigh("line", row, l_starts[i] - base, l_ends[i] - base, w_first[i], w_last[i])
@@ -138,6 +186,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                             if i - opened > 1 and not (opened == la and i == lb):
                                 weigh("paragraph", row, l_starts[opened] - base, l_ends[i - 1] - base, w_first[opened], w_last[i - 1])
                             opened = None
+                    units = list(hits[row])
+                    for score, name, wa, wb in windows(known, places[first[row] : first[row + 1]], spread[first[row] : first[row + 1]]):
+                        a, b = int(starts[first[row] + wa] - base), int(ends[first[row] + wb - 1] - base)
+                        if all(b <= u["start"] or a >= u["end"] or (u["license"] != name and u["score"] < -score) for u in units):
+                            hits[row].append({"unit": "window", "start": a, "end": b, "license": name, "score": float(-score)})
                 best = [min(((-h["score"], h["license"]) for h in x), default=None) for x in hits]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.first, block.rows), pa.array([b[1] if b else None for b in best], pa.string()), pa.array([-b[0] if b else None for b in best], pa.float64()), pa.array([len(x) for x in hits], pa.int64()), pa.array(hits, pa.list_(kind))],

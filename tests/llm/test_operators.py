@@ -486,6 +486,25 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_inside_prose_and_over_paragraphs(spark):
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    notices = {n: t for n, t in licenses.TEMPLATES if 300 < len(t) < 2000 and n in ("MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause")}
+    full = {n: t for n, t in licenses.TEMPLATES if len(t) > 4000}
+    assert len(notices) == 4 and {"Apache-2.0", "GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0"} <= set(full)
+    cases = [(n, prose(80) + "\n\n" + re.sub(r"(\.|:) ", r"\1\n\n", t) + "\n\n" + prose(80)) for n, t in notices.items()]
+    cases += [("MIT", "The code is free to use. Released under the MIT License. Pull requests are welcome.")]
+    cases += [(n, prose(300) + "\n\n" + t + "\n" + prose(300)) for n, t in full.items()] + [(None, prose(400))]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    for i, (n, t) in enumerate(cases):
+        assert got[i].license == n, (i, n, got[i])
+        for m in got[i].matches:
+            assert 0 <= m.start < m.end <= len(t.encode()) and m.score >= 0.8
+    two = cases[0][1] + "\n" + cases[0][1] + " " + cases[4][1]
+    assert len(licenses.scan_licenses(spark.createDataFrame([(1, two)], "doc_id long, text string")).first().matches) == 3
+
+
 # --- personal data ---------------------------------------------------------------------------------------------------
 
 
