@@ -2,8 +2,10 @@
 
 1. Each line's quote level is the number of `>` marks before it. A maximal run of lines of one level is a passage; its
    normalised text (white space collapsed, lower case) is hashed. Unmarked runs are the message's own passages.
-2. A quoted passage is joined by (conversation, hash) to own passages of earlier messages, whole passages and single lines alike. The
-   latest earlier message that has it is quoted; of a message's passages, the least nested ones decide what it answers.
+2. Quoted passages are joined by (conversation, hash) to own passages of earlier messages: whole passages, their paragraphs (blank
+   lines apart) and their single lines, on both sides. Of a passage's units the largest kind that is found decides; of the earlier
+   messages found (for each unit the latest that has it), the one with most characters of that kind is quoted, then the latest. Of a
+   message's passages, the least nested ones decide what it answers, then the largest kind, then the latest message.
 3. Messages that answer nothing start a thread. A thread's root is found by pointer doubling over the messages that answer.
    The order is by root, then by turn: every message comes after the one that it answers. Positions are ranks in two
    levels over turn ranges, so a conversation of any length is never gathered in one task.
@@ -55,6 +57,12 @@ def _passages(lines: Column) -> Column:
     return F.filter(F.aggregate(lines, F.array().cast(kind), step), lambda p: _normal(p["text"]) != "")
 
 
+def _units(passage: Column) -> Column:
+    """A passage, its paragraphs and its lines as (kind, text): 2, 1 and 0."""
+    parts = [F.array(passage), F.split(passage, r"\r?\n(?:[\x20\x09\r]*\n)+", -1), F.split(passage, r"\r?\n", -1)]
+    return F.concat(*(F.transform(x, lambda t, k=k: F.struct(F.lit(k).alias("kind"), _normal(t).alias("text"))) for k, x in zip((2, 1, 0), parts, strict=True)))
+
+
 def _latest_before(quotes: DataFrame, own: DataFrame) -> DataFrame:
     """quotes with `source`, the latest turn before theirs in which the conversation has the passage; those without one are dropped.
 
@@ -83,13 +91,17 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: st
     base = base.withColumn("n_quotes", F.size(quoted)).withColumn("max_level", F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)))
     base = materialise(base.drop("lines"), "messages")
 
-    quotes = base.where("n_quotes > 0 and conv is not null and turn is not null").select("conv", "turn", F.explode(F.filter("passages", lambda p: p["level"] > 0)).alias("p")).select("conv", "turn", F.col("p.level").alias("level"), F.xxhash64(_normal(F.col("p.text"))).alias("hash")).distinct()
-    wanted = quotes.select("conv", "hash").distinct()
-    units = F.array_distinct(F.flatten(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: F.concat(F.array(p["text"]), F.split(p["text"], r"\r?\n", -1)))))
-    own = base.where("conv is not null and turn is not null").select("conv", "turn", F.explode(units).alias("u")).select("conv", "turn", _normal(F.col("u")).alias("n")).where("n <> ''").select("conv", F.xxhash64("n").alias("hash"), "turn").distinct()
+    quotes = base.where("n_quotes > 0 and conv is not null and turn is not null").select("conv", "turn", F.explode(F.filter("passages", lambda p: p["level"] > 0)).alias("p")).select("conv", "turn", F.col("p.level").alias("level"), F.xxhash64(_normal(F.col("p.text"))).alias("passage"), F.col("p.text").alias("text")).dropDuplicates(["conv", "turn", "level", "passage"])
+    units = quotes.select("conv", "turn", "level", "passage", F.explode(_units(F.col("text"))).alias("u")).where("u.text <> ''").groupBy("conv", "turn", "level", "passage", F.xxhash64("u.text").alias("hash")).agg(F.max("u.kind").alias("kind"), F.max(F.length("u.text")).alias("chars"))
+    units = materialise(units, "quoted")
+    wanted = units.select("conv", "hash").distinct()
+    texts = F.array_distinct(F.transform(F.flatten(F.transform(F.filter("passages", lambda p: p["level"] == 0), lambda p: _units(p["text"]))), lambda u: u["text"]))
+    own = base.where("conv is not null and turn is not null").select("conv", "turn", F.explode(texts).alias("n")).where("n <> ''").select("conv", F.xxhash64("n").alias("hash"), "turn").distinct()
     own = own.join(wanted, ["conv", "hash"], "left_semi")
-    linked = _latest_before(quotes, own)
-    answers = linked.groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), "source"))["source"].alias("reply_to"), F.count(F.lit(1)).alias("n_linked"))
+    linked = _latest_before(units.select("conv", "turn", "level", "hash").distinct(), own).join(units, ["conv", "turn", "level", "hash"])
+    shares = linked.groupBy("conv", "turn", "level", "passage", "kind", "source").agg(F.sum("chars").alias("chars"))
+    linked = shares.groupBy("conv", "turn", "level", "passage").agg(F.max(F.struct("kind", "chars", "source")).alias("m")).select("conv", "turn", "level", "m.kind", "m.source")
+    answers = linked.groupBy("conv", "turn").agg(F.max(F.struct(-F.col("level"), "kind", "source"))["source"].alias("reply_to"), F.count(F.lit(1)).alias("n_linked"))
     answers = materialise(answers, "answers")
 
     # pointer doubling: each message that answers points at an ancestor, at first at what it answers

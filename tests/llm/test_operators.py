@@ -364,6 +364,18 @@ def test_quotations(spark):
     assert quoting.link_quotations(df.limit(0)).count() == 0
 
 
+def test_quoted_excerpts(spark):
+    first = "one alpha\ntwo beta\nthree gamma\nfour delta\nfive\nsix"
+    rows = [
+        (1, 0, "a", first), (1, 1, "b", "three gamma\nunrelated words"),
+        (1, 2, "c", "> two beta\n> three gamma\n> four delta\nyes"),  # lines 2 to 4 of 6; one of them stands alone later
+        (1, 3, "d", "para one\nits end\n\npara two\n\npara three"), (1, 4, "e", "> para one\n> its end\n>\n> para two\nno"), (1, 5, "f", "> para one\n> its end\nagain"),
+        (1, 6, "g", "> para two\n> with another ending\nwell"), (1, 7, "h", "> nobody said this\n> nor this\nhm"),
+    ]
+    got = {r.turn: (r.reply_to, r.root, r.n_quotes, r.n_linked) for r in quoting.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, 0, 0, 0), 1: (None, 1, 0, 0), 2: (0, 0, 1, 1), 3: (None, 3, 0, 0), 4: (3, 3, 1, 1), 5: (3, 3, 1, 1), 6: (3, 3, 1, 1), 7: (None, 7, 1, 0)}
+
+
 # --- lines -----------------------------------------------------------------------------------------------------------
 
 
