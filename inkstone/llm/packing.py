@@ -180,8 +180,8 @@ class Sums:
             self.singles &= ~(1 << length)
             self.mirror &= ~(1 << (self.top - length))
 
-    def pair(self, total: int, most: int | None = None) -> tuple[int, int] | None:
-        """The pair (a >= b) of that sum with the longest a, if there is one with a <= most."""
+    def pair(self, total: int, most: int | None = None, used: int = 0) -> tuple[int, int] | None:
+        """The pair (a >= b) of that sum with the longest a, if there is one with a <= most; one piece of length `used` is taken."""
         shift = total - self.top
         other = self.mirror << shift if shift >= 0 else self.mirror >> -shift  # bit a is set if total - a is in stock
         both = self.singles & other & ((1 << min(total, (most or total) + 1)) - 1)
@@ -189,8 +189,9 @@ class Sums:
             a = both.bit_length() - 1
             if 2 * a < total:
                 return None
-            if 2 * a > total or self.counts[a] > 1:
-                return a, total - a
+            pair = (a, total - a)
+            if all(self.counts[x] >= pair.count(x) + (x == used) for x in pair):
+                return pair
             both ^= 1 << a
         return None
 
@@ -205,10 +206,8 @@ class Sums:
             a = left.bit_length() - 1
             if 3 * a < gap:
                 return None
-            if found := self.pair(gap - a, min(a, gap - a - 1)):
-                need = (a, *found)
-                if all(self.counts[x] >= need.count(x) for x in set(need)):
-                    return need
+            if found := self.pair(gap - a, min(a, gap - a - 1), a):
+                return (a, *found)
             left ^= 1 << a
         return None
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -251,6 +252,20 @@ def test_plan_uses_each_piece_once(counts):
     assert (used == counts).all()
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=3, max_size=12), st.integers(1, 24))
+def test_exact_finds_any_combination(counts, gap):
+    stock = packing.Sums(np.array([0, *counts, *[0] * 30]))
+    lengths = [i for i, n in enumerate([0, *counts]) for _ in range(n)]
+    there = any(sum(c) == gap for k in (1, 2, 3) for c in itertools.combinations(lengths, k))
+    got = stock.exact(gap)
+    assert (got is not None) == there and (got is None or sum(got) == gap and all(stock.counts[x] >= got.count(x) for x in got))
+
+
+def test_exact_tries_a_members_other_pairs():
+    assert packing.Sums(np.array([0, 0, 1, 2, 1, 0, 0, 0, 0, 0, 0])).exact(10) == (4, 3, 3)
+
+
 def test_pack(docs, none):
     got = by_id(packing.pack(docs, packing.default_vocabulary(), capacity=256, extra=["lang"]))
     from tokenizers import Tokenizer
