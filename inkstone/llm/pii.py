@@ -32,8 +32,6 @@ from ._store import bound_arrow_batches, materialise
 
 KINDS = ("email", "ip", "card", "phone", "name")
 THRESHOLD = 0.9
-#: A classifier needs at least this many candidates of a kind, else its kind adds nothing.
-MIN_CANDIDATES = 20
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -199,7 +197,7 @@ def accepted_patterns(counts: dict[tuple[int, int], int]) -> dict[tuple[int, int
     for kind in range(len(KINDS)):
         seen = sorted(p for k, p in counts if k == kind)
         n = np.array([counts[kind, p] for p in seen], float)
-        if n.sum() < MIN_CANDIDATES:
+        if not seen:
             continue
         patterns = np.array(seen, np.int64)
         w = train(patterns, em(patterns, n), n)

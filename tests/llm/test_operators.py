@@ -566,6 +566,12 @@ def test_personal_data(spark, docs, none):
     assert pii.find_personal_data(none).count() == 0
 
 
+def test_few_candidates_are_decided_too(spark, none):
+    texts = [f"contact us: jo{i} (at) example (dot) org w4" for i in range(8)] + ["order 1234567890123 of page 5"]
+    rows = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(len(rows[i]) == 1 for i in range(8)) and not rows[8]
+
+
 def test_em_separates_reliable_votes():
     # labelers 0 and 5 are right together, labeler 3 guesses
     right, wrong, guess = 1 | (1 << 10), 2 | (2 << 10), 1 << 6
