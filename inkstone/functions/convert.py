@@ -53,11 +53,12 @@ class Options:
     def resolve(self) -> str:
         if self.manual:
             return self.manual if self.manual in _IDS else "s2t"
-        idioms = self.region == "tw" if self.idioms is None else self.idioms and self.region == "tw"
-        if self.region == "std":
+        # asking for idioms selects Taiwan
+        region = "tw" if self.idioms else self.region
+        if region == "std":
             return self.direction
-        local = self.region + ("p" if idioms else "")
-        return f"s2{local}" if self.direction == "s2t" else f"{self.region}2s{'p' if idioms else ''}"
+        idioms = "p" if region == "tw" and self.idioms is not False else ""
+        return f"s2{region}{idioms}" if self.direction == "s2t" else f"{region}2s{idioms}"
 
 
 def resolve_config(direction: Column, region: Column, idioms: Column) -> Column:

@@ -14,9 +14,8 @@ LIST_CLOSER_PREFIX = rf"^[{cs.LIST_NUMBER}]{{1,2}}[)）]"
 METADATA = rf"(?s)^([^{cs.METADATA_SEPARATORS}]{{1,10}})[{cs.METADATA_SEPARATORS}][ \t\r\x{{3000}}]*(.*)\z"
 CHAPTER = rf"(?s)^[^第]{{0,10}}第.{{0,5}}?[{cs.CHAPTER_MARKERS}](?:[^{cs.NOT_AFTER_MARKER}]|\z)"
 VOLUME = rf"^[卷章][{cs.NUMERALS}]"
-# Patterns with back references, for Java only.
+# With a back reference, for Java only.
 REPEATED_UNIT = r"(?s)^(.{4,10}?)\1{2,}\z"
-REPEATED_PHRASE = r"^((?:[^ ]+ )*?)((?:[^ ]+ ){0,7}?[^ ]+)(?: \2){2,}((?: [^ ]+)*)$"
 
 
 def is_page_marker(t: Column) -> Column:
@@ -34,24 +33,42 @@ def list_has_unclosed_bracket(t: Column) -> Column:
 
 def collapse_token(t: Column) -> Column:
     """A token of 4 to 200 characters that repeats a unit of 4 to 10 at least three times becomes the unit."""
-    return F.when(F.length(t).between(4, 200), F.regexp_replace(t, REPEATED_UNIT, "$1")).otherwise(t)
+    # three units take twelve characters
+    return F.when(F.length(t).between(12, 200), F.regexp_replace(t, REPEATED_UNIT, "$1")).otherwise(t)
+
+
+def _first_repeat(tokens: Column) -> Column:
+    """(start from 1, length, tokens in the repeated part) of the first phrase of up to eight tokens that comes three times or more; null if none does.
+
+    A phrase of n tokens comes three times from where 2 n tokens in a row equal the n-th one after them.
+    """
+
+    def of(n: int) -> Column:
+        same = F.array_join(F.zip_with(tokens, F.slice(tokens, n + 1, F.size(tokens)), lambda a, b: F.when(a.eqNullSafe(b), "1").otherwise("0")), "")
+        return tx.bound(same, lambda s: tx.bound(F.instr(s, "1" * (2 * n)), lambda at: F.when(at > 0, F.struct(at.alias("start"), F.lit(n).alias("n"), F.length(F.regexp_extract(F.substring(s, at, F.length(s)), "^1+", 0)).alias("run")))))
+
+    return F.array_min(F.array(*map(of, range(1, 9))))
 
 
 def collapse_phrase(tokens: Column) -> Column:
     """The first phrase of up to eight tokens that comes at least three times in a row is kept once, in an array of tokens.
 
-    A lone token cannot repeat, so the pattern runs only on lines that have some token three times.
+    A lone token cannot repeat, so lines are searched only if they have some token three times.
     """
     three = F.size(tokens) >= 3
     repeats = F.size(tokens) - F.size(F.array_distinct(tokens)) >= 2
-    joined = F.regexp_replace(F.array_join(tokens, " "), REPEATED_PHRASE, "$1$2$3")
-    return F.when(three & repeats, F.split(joined, " ")).otherwise(tokens)
+
+    def cut(found: Column) -> Column:
+        after = found["start"] + found["n"] * (F.floor(found["run"] / found["n"]).cast("int") + 1)
+        return F.concat(F.slice(tokens, 1, found["start"] + found["n"] - 1), F.slice(tokens, after, F.size(tokens)))
+
+    return F.when(three & repeats, F.coalesce(tx.bound(_first_repeat(tokens), lambda f: F.when(f.isNotNull(), cut(f))), tokens)).otherwise(tokens)
 
 
 def collapse_repeats(t: Column) -> Column:
     """Tokens between blanks and tabs, with repeated phrases, then repeated units, collapsed and joined by one blank."""
     tokens = F.filter(F.split(t, "[ \t]+"), lambda x: x != "")
-    return F.when(F.size(tokens) == 0, t).otherwise(F.array_join(F.transform(collapse_phrase(tokens), collapse_token), " "))
+    return tx.bound(tokens, lambda w: F.when(F.size(w) == 0, t).otherwise(F.array_join(F.transform(collapse_phrase(w), collapse_token), " ")))
 
 
 def is_metadata(t: Column) -> Column:

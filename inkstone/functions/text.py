@@ -5,6 +5,8 @@ NULL text gives NULL; lengths and positions are in code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ def matches(c: Column, pattern: str) -> Column:
     return c.rlike(pattern)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value made once."""
+    return F.transform(F.array(value), body)[0]
+
+
 # --- encoding, newlines, trims ---------------------------------------------------------------------------------------
 
 
@@ -186,13 +193,16 @@ def has_unclosed_bracket(t: Column) -> Column:
     The text is cut down to its brackets first; the fold keeps the closers that are still due, nearest first.
     """
     chars = "".join(a + b for a, b in cs.BRACKETS)
-    only = F.regexp_replace(t, f"[^{cs.escaped(chars)}]", "")
+    # neighbours that match nest wherever they are, and are most of what there is
+    pairs = "|".join(f"[{cs.escaped(a)}][{cs.escaped(b)}]" for a, b in cs.BRACKETS)
+    only = F.regexp_replace(F.regexp_replace(t, f"[^{cs.escaped(chars)}]+", ""), pairs, "")
 
     def step(due: Column, c: Column) -> Column:
         closer = matching_closer(c)
         return F.when(due == "!", due).when(closer != "", F.concat(closer, due)).when(F.left(due, F.lit(1)) == c, F.substring(due, F.lit(2), F.length(due))).otherwise(F.lit("!"))
 
-    return F.when(only == "", F.lit(False)).otherwise(F.aggregate(F.split(only, ""), F.lit(""), step) != "")
+    nests = bound(only, lambda o: F.when(o == "", F.lit(False)).otherwise(F.aggregate(F.split(o, ""), F.lit(""), step) != ""))
+    return F.when(~contains_any(t, chars), F.lit(False)).otherwise(nests)
 
 
 def _depth_fails(only: Column, opener: Column, wrap: int | None = None) -> Column:
@@ -202,14 +212,14 @@ def _depth_fails(only: Column, opener: Column, wrap: int | None = None) -> Colum
         up = depth + 1 if wrap is None else F.pmod(depth + 1, F.lit(wrap))
         return F.when(depth < 0, depth).when(c == opener, up).otherwise(depth - 1)
 
-    return F.when(only == "", F.lit(False)).otherwise(F.aggregate(F.split(only, ""), F.lit(0), step) != 0)
+    return bound(only, lambda o: F.when(o == "", F.lit(False)).otherwise(F.aggregate(F.split(o, ""), F.lit(0), step) != 0))
 
 
 def has_unclosed_quote(t: Column) -> Column:
     """Whether any of the four quote kinds is left open or closed without being open; each is counted on its own, modulo 256."""
     out = F.lit(False)
     for a, b in cs.QUOTES:
-        out = out | _depth_fails(F.regexp_replace(t, f"[^{a}{b}]", ""), F.lit(a), 256)
+        out = out | contains_any(t, a + b) & _depth_fails(F.regexp_replace(t, f"[^{a}{b}]+", ""), F.lit(a), 256)
     return out
 
 
@@ -217,7 +227,7 @@ def is_type_balanced(t: Column, opener: Column) -> Column:
     """Whether the brackets of the opener's kind balance; true for what opens nothing."""
     closer = matching_closer(opener)
     kept = F.array_join(F.filter(F.split(t, ""), lambda c: (c == opener) | (c == closer)), "")
-    return (closer == "") | ~_depth_fails(kept, opener)
+    return F.when(closer == "", F.lit(True)).otherwise(~_depth_fails(kept, opener))
 
 
 def dialog_depths(lines: Column) -> Column:
@@ -226,7 +236,7 @@ def dialog_depths(lines: Column) -> Column:
     kind = "struct<now:array<int>,all:array<array<int>>>"
 
     def counted(now: Column, line: Column) -> Column:
-        return F.array(*(F.aggregate(F.split(F.regexp_replace(line, f"[^{a}{b}]", ""), ""), now[k], _counter(a, b)) for k, (a, b) in enumerate(cs.DIALOG_PAIRS)))
+        return F.array(*(F.aggregate(F.split(F.regexp_replace(line, f"[^{a}{b}]+", ""), ""), now[k], _counter(a, b)) for k, (a, b) in enumerate(cs.DIALOG_PAIRS)))
 
     def fold(acc: Column, line: Column) -> Column:
         now = counted(acc["now"], line)

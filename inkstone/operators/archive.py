@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -98,7 +99,7 @@ def read_entries(content: bytes, strict: bool = True) -> list[dict]:
             if not info.is_dir() and not (strict and info.file_size > cs.MAX_ENTRY_BYTES):
                 try:
                     data = z.read(info)
-                except (zipfile.BadZipFile, NotImplementedError, RuntimeError):
+                except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
                     data = b""
             out.append({"ord": i, "name": name, "is_dir": info.is_dir(), "data": data})
     return out

@@ -8,9 +8,10 @@ transition rule (`decide`) maps both to an action. Runs per document inside an A
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from enum import Enum, auto
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,8 @@ _QUOTE_CHARS = re.compile("[" + "".join(a + b for a, b in cs.QUOTES) + "]")
 _DIALOG_CHARS = re.compile("[" + "".join(a + b for a, b in cs.DIALOG_PAIRS) + "]")
 _DIALOG_CLOSER = {b: a for a, b in cs.DIALOG_PAIRS}
 _RUNAWAY = 120
+#: Characters that tell whether a paragraph begins as a list item, and whether it ends a sentence.
+_HEAD, _TAIL = 8, 8
 
 
 def _python(pattern: str) -> str:
@@ -46,13 +49,15 @@ _CJK_CHAR = re.compile(f"[{_CJK}]")
 _CJK_ONLY = re.compile(rf"[{_CJK}]+\Z")
 _CJK_OR_WS = re.compile(rf"[{_CJK}{_WS}]+\Z")
 _LATIN = re.compile("[A-Za-z]")
+_CJK_RUNS, _LATIN_RUNS = re.compile(f"[{_CJK}]+"), re.compile("[A-Za-z]+")
+_SPACES = re.compile(f"[{_WS}]+")
 _DIGITS = re.compile(r"[0-9]+\Z")
 _ALNUM = re.compile("[A-Za-z0-9０-９]")
 
 
 def mostly_cjk(s: str) -> bool:
-    n = len(_CJK_CHAR.findall(s))
-    return n > 0 and n >= len(_LATIN.findall(s))
+    n = sum(map(len, _CJK_RUNS.findall(s)))
+    return n > 0 and n >= sum(map(len, _LATIN_RUNS.findall(s)))
 
 
 def bracket_stack(s: str, due: str | None = "") -> str | None:
@@ -89,7 +94,14 @@ def ends_with_ellipsis(s: str) -> bool:
 
 
 def ends_sentence(s: str) -> bool:
-    """At the level that reflow uses: strong ends, closers after them, a full-width colon or an ellipsis in CJK text."""
+    return tail_ends_sentence(s, lambda: mostly_cjk(s))
+
+
+def tail_ends_sentence(s: str, cjk: Callable[[], bool]) -> bool:
+    """At the level that reflow uses: strong ends, closers after them, a full-width colon or an ellipsis in CJK text.
+
+    s is a text or the end of one; cjk says whether the whole text is mostly CJK.
+    """
     r = s.rstrip(cs.WS_CHARS)
     if not r:
         return False
@@ -100,9 +112,9 @@ def ends_sentence(s: str) -> bool:
         if head[-1] in cs.STRONG_ENDS:
             return True
         before = head[:-1].rstrip(cs.WS_CHARS)
-        if head[-1] == "." and before and _CJK_CHAR.match(before[-1]) and mostly_cjk(s):
+        if head[-1] == "." and before and _CJK_CHAR.match(before[-1]) and cjk():
             return True
-    return (last == "：" and mostly_cjk(s)) or ends_with_ellipsis(s)
+    return (last == "：" or r.endswith(("…", "..."))) and cjk()
 
 
 def is_bracketed(s: str) -> bool:
@@ -165,15 +177,17 @@ def collapse_repeats(line: str) -> str:
 
 
 def _collapse_phrase(tokens: list[str]) -> list[str]:
-    last_start = len(tokens) - 3
-    for start, size in ((s, k) for s in range(last_start + 1) for k in range(1, 9)):
-        phrase = tokens[start : start + size]
-        times = 1
-        while len(phrase) == size and tokens[start + times * size : start + (times + 1) * size] == phrase:
-            times += 1
-        if times >= 3:
-            return tokens[: start + size] + tokens[start + times * size :]
-    return tokens
+    """A phrase of n tokens comes three times from where 2 n tokens in a row equal the n-th one after them."""
+    found = []
+    for n in range(1, 9):
+        same = bytes(map(eq, tokens, tokens[n:]))
+        if (start := same.find(b"\1" * (2 * n))) >= 0:
+            end = same.find(b"\0", start)
+            found.append((start, n, (end if end >= 0 else len(same)) - start))
+    if not found:
+        return tokens
+    start, n, run = min(found)
+    return tokens[: start + n] + tokens[start + n * (run // n + 1) :]
 
 
 @dataclass
@@ -229,6 +243,11 @@ class Paragraph:
     due: str | None = ""
     dialog: dict[str, int] = field(default_factory=dict)
     end: str = ""
+    first: str = ""
+    head: str = ""  # the first characters, without what stripping takes
+    tail: str = ""  # the last characters, with white space made single blanks
+    balance: int = 0  # CJK characters less Latin letters
+    cjk: bool = False
 
     @property
     def text(self) -> str:
@@ -239,6 +258,22 @@ class Paragraph:
         self.length += len(s)
         self.due = bracket_stack(s, self.due)
         self.end = s.rstrip(cs.WS_CHARS)[-1:] or self.end
+        if len(self.head) < _HEAD:
+            self.head = (self.head + s).lstrip(cs.STRIP_CHARS)[:_HEAD]
+        self.first = self.first or s.lstrip(cs.WS_CHARS)[:1]
+        self.tail = _SPACES.sub(" ", self.tail + s)[-_TAIL:]
+        n = sum(map(len, _CJK_RUNS.findall(s)))
+        self.cjk |= n > 0
+        self.balance += n - sum(map(len, _LATIN_RUNS.findall(s)))
+
+    @property
+    def ends_sentence(self) -> bool:
+        return tail_ends_sentence(self.tail, lambda: self.cjk and self.balance >= 0)
+
+    @property
+    def is_bracketed(self) -> bool:
+        # few paragraphs begin and end like one, so the text is seldom put together
+        return _CLOSER.get(self.first) == self.end and is_bracketed(self.text)
 
     def track(self, s: str) -> None:
         for c in _DIALOG_CHARS.findall(s):
@@ -257,6 +292,7 @@ class Paragraph:
 
     def clear(self) -> str:
         out, self.parts, self.length, self.due, self.end = self.text, [], 0, "", ""
+        self.first, self.head, self.tail, self.balance, self.cjk = "", "", "", 0, False
         return out
 
 
@@ -290,7 +326,7 @@ def decide(line: Line, para: Paragraph, page_header: bool) -> Act:
         if line.item and line.complete and sound:
             return Act.ALONE
         follows = para.end == "" or para.end in cs.COMMAS or bool(_CJK_CHAR.match(para.end)) or para.in_dialog or para.bracket_open
-        items = line.item and not empty and bool(_LIST_START.match(para.text.lstrip(cs.STRIP_CHARS)))
+        items = line.item and not empty and bool(_LIST_START.match(para.head))
         return Act.SPEAK_ANEW if not empty and (items or not follows) else Act.SPEAK
     if line.complete and not line.closes and not line.open_quote:
         if empty:
@@ -301,8 +337,7 @@ def decide(line: Line, para: Paragraph, page_header: bool) -> Act:
     if line.closes:
         return Act.CLOSE
     if not empty and not para.in_dialog:
-        text = para.text
-        if (not para.bracket_open and ends_sentence(text)) or is_bracketed(text):
+        if (not para.bracket_open and para.ends_sentence) or para.is_bracketed:
             return Act.JOIN_ANEW
     return Act.JOIN
 

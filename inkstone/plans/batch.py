@@ -52,7 +52,7 @@ def pdf_output_path(out_dir: str, base: Column, config: str) -> Column:
 def plan(files: DataFrame, job: Job, convert: Callable[[Column], Column] | None = None) -> DataFrame:
     """ord, path, exists → route, out_path, status and `wins` (of files with the same output, the last one).
 
-    Status: not_found, unsupported, same_path (PDFs excepted) or ready.
+    `convert` is for the files' names: a converter that leaves punctuation alone. Status: not_found, unsupported, same_path (PDFs excepted) or ready.
     """
     config = job.config if job.config in cs.CONFIGS else "s2t"
     base, ext = fs.base_name(F.col("path")), fs.extension(F.col("path"))
@@ -63,10 +63,10 @@ def plan(files: DataFrame, job: Job, convert: Callable[[Column], Column] | None
     rows = rows.withColumn("out_path", F.when(F.col("route") == "pdf", pdf_output_path(job.out_dir, F.col("base"), config)).when(F.col("route") != "unsupported", output_path(job.out_dir, F.col("base"), config, F.col("ext"))))
     same = (F.col("route") != "pdf") & (F.col("path") == F.col("out_path"))
     rows = rows.withColumn("status", F.when(~F.col("exists"), F.lit("not_found")).when(F.col("route") == "unsupported", F.lit("unsupported")).when(same, F.lit("same_path")).otherwise(F.lit("ready")))
-    # rows that write nothing are groups of their own, not one large group
-    key = F.when(F.col("status") == "ready", F.col("out_path")).otherwise(F.concat(F.lit("\n"), F.col("ord").cast("string")))
-    last = F.max("ord").over(Window.partitionBy(key))
-    return rows.withColumn("wins", (F.col("status") == "ready") & (F.col("ord") == last))
+    # an aggregate and a join, so that ten thousand files of one name do not meet in one task
+    last = rows.where("status = 'ready'").groupBy(F.col("out_path").alias("written")).agg(F.max("ord").alias("last"))
+    wins = (F.col("status") == "ready") & (F.col("ord") == F.col("last"))
+    return rows.join(last, rows["out_path"] == last["written"], "left").select(*rows.columns, F.coalesce(wins, F.lit(False)).alias("wins"))
 
 
 def log_lines(rows: DataFrame) -> DataFrame:
@@ -90,13 +90,15 @@ def ordered_list(current: DataFrame, added: DataFrame) -> DataFrame:
     return old.unionByName(new).select((F.row_number().over(Window.orderBy("zone", "k")) - 1).alias("pos"), "path")
 
 
-def run_batch(files: DataFrame, job: Job, convert: Callable[[Column], Column], convert_text: Callable[[str], str], pdf_decoder: Callable[[bytes], list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+def run_batch(files: DataFrame, job: Job, convert: Callable[[Column], Column], convert_text: Callable[[str], str], pdf_decoder: Callable[[bytes], list[str]] | None = None, convert_name: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, log) of a batch: files is ord, path, content (NULL where the file is missing).
 
+    convert_name is for file names, which keep their punctuation; without it, names stay as they are.
+
     results: ord, path, out_path, data; log: ord, status, line. The three routes are separate branches of one plan, each of which
     reads only its own rows.
     """
-    planned = plan(files.select("ord", "path", F.col("content").isNotNull().alias("exists")), job, convert)
+    planned = plan(files.select("ord", "path", F.col("content").isNotNull().alias("exists")), job, convert_name)
     ready = planned.where("wins").select("ord", "path", "base", "ext", "route", "out_path").join(files.select("ord", "content"), "ord")
 
     text = tx.normalize_newlines(tx.decode_lenient(F.col("content")))
@@ -134,6 +136,6 @@ def convert_selection(t: Column, start: int, length: int | None, convert: Callab
 
 
 def preview(files: DataFrame, limit: int = 1) -> DataFrame:
-    """(path, text) of the first text-like files; others say that they are none."""
+    """(path, text) of the first files, by `ord` if there is one, else by path; those that are not text-like say so."""
     text = tx.normalize_newlines(tx.decode_lenient(F.col("content")))
-    return files.limit(limit).select("path", F.when(fs.is_text_like(fs.extension(F.col("path"))), text).otherwise(F.lit("Not a valid text file.")).alias("text"))
+    return files.orderBy("ord" if "ord" in files.columns else "path").limit(limit).select("path", F.when(fs.is_text_like(fs.extension(F.col("path"))), text).otherwise(F.lit("Not a valid text file.")).alias("text"))

@@ -6,6 +6,8 @@ import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,7 +116,7 @@ def decode_pdfs(files: DataFrame, decoder: Callable[[bytes], list[str]], id_col:
 def write_files(rows: DataFrame, path_col: str = "out_path", data_col: str = "data") -> DataFrame:
     """Write each row to a file of its own, by a temporary name that is renamed when complete; (path, status, message) per row.
 
-    For folders that all executors mount; elsewhere write the rows as a table.
+    A path with a scheme (hdfs, s3, gs, file) goes to that file system, any other to a folder that all executors mount.
     """
     source = rows.select(F.col(path_col).alias("path"), F.col(data_col).cast("binary").alias("data"))
 
@@ -122,15 +124,16 @@ def write_files(rows: DataFrame, path_col: str = "out_path", data_col: str = "da
         for frame in frames:
             said = []
             for path, data in frame.itertuples(index=False):
-                part = f"{path}.part-{os.getpid()}"
                 try:
-                    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-                    with open(part, "wb") as f:
+                    store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+                    part = f"{name}.part-{os.getpid()}"
+                    store.create_dir(os.path.dirname(name), recursive=True)
+                    with store.open_output_stream(part) as f:
                         f.write(bytes(data or b""))
-                    os.replace(part, path)
+                    store.move(part, name)
                     said.append((path, "done", None))
-                except OSError as e:
-                    said.append((path, "write_error", e.strerror))
+                except (OSError, pa.ArrowException) as e:
+                    said.append((path, "write_error", getattr(e, "strerror", None) or str(e)))
             yield pd.DataFrame(said, columns=["path", "status", "message"])
 
     return source.mapInPandas(run, "path string, status string, message string")

@@ -1,5 +1,7 @@
 """Column expressions: golden cases, and agreement with the row-local versions that reflow uses."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,39 @@ def test_repeats(spark):
     assert [r[0] for r in values(spark, texts, ln.collapse_repeats)] == ["abcd", "哈哈哈哈", "abcdabcd", "abcabcabc", "背负着一切的麒麟", "k a b b b", "x a a ab", ""]
 
 
+def test_repeats_of_long_lines(spark):
+    # a pattern with back references would exhaust the stack here
+    words = [f"t{i}" for i in range(100_000)]
+    texts = [" ".join([*words, "a", "a", "a"]), " ".join(["x y"] * 50_000), " ".join(words + words)]
+    got = [r[0] for r in values(spark, texts, ln.collapse_repeats)]
+    assert got == [" ".join([*words, "a"]), "x y", texts[2]]
+
+
+def test_repeats_agree_with_a_search(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abc"[: rng.randint(1, 3)]) for _ in range(rng.randint(0, 40))) for _ in range(400)] + [("p q r s t u v w " * 3).strip() + " x", ("1 2 3 4 5 6 7 8 9 " * 4).strip()]
+
+    def collapsed(line):
+        w = line.split()
+        for start in range(len(w)):
+            for n in range(1, 9):
+                k = 1
+                while w[start + k * n : start + k * n + n] == w[start : start + n] and len(w[start : start + n]) == n:
+                    k += 1
+                if k >= 3:
+                    return " ".join(w[: start + n] + w[start + k * n :])
+        return " ".join(w)
+
+    assert [r[0] for r in values(spark, texts, ln.collapse_repeats)] == [collapsed(t) for t in texts]
+
+
+def test_brackets_nest(spark):
+    rng = random.Random(4)
+    kinds = "()（）[]【】《》a "
+    texts = ["".join(rng.choice(kinds) for _ in range(rng.randint(0, 12))) for _ in range(400)] + ["（" * 500 + "）" * 500, "(" * 500 + ")" * 499]
+    assert [r[0] for r in values(spark, texts, tx.has_unclosed_bracket)] == [rf.brackets_open(t) for t in texts]
+
+
 def test_dialog_depths(spark):
     df = spark.createDataFrame([(["“a", "b”", "”「", "『"],)], "l array<string>").select(tx.dialog_depths(F.col("l")).alias("d"))
     assert [list(x) for x in df.first()["d"]] == [[1, 0, 0, 0, 0, 0], [0] * 6, [0, 0, 1, 0, 0, 0], [0, 0, 1, 1, 0, 0]]
@@ -73,6 +108,8 @@ def test_configs(spark):
     for (d, r, i), want in {("s2t", "std", False): "s2t", ("s2t", "hk", False): "s2hk", ("s2t", "tw", False): "s2tw", ("s2t", "tw", True): "s2twp", ("t2s", "std", False): "t2s", ("t2s", "hk", False): "hk2s", ("t2s", "tw", False): "tw2s", ("t2s", "tw", True): "tw2sp"}.items():
         assert cv.Options(d, r, i).resolve() == want
     assert cv.Options(region="tw").resolve() == "s2twp"
+    # asking for idioms selects Taiwan
+    assert (cv.Options(idioms=True).resolve(), cv.Options("t2s", "hk", True).resolve()) == ("s2twp", "tw2sp")
     assert values(spark, ["S2TWP", "nope"], cv.config_id) == [(3,), (1,)]
     assert values(spark, ["“你好”‘a’"], lambda t: cv.convert_punctuation(t, "s2t")) == [("「你好」『a』",)]
 
@@ -125,6 +162,14 @@ def test_archives(spark):
         ar.write_entries([], "epub")
 
 
+def test_corrupt_entry_is_kept_empty():
+    text = bytes(i * 7 % 251 for i in range(4000))
+    data = bytearray(ar.write_entries([{"ord": 0, "name": "a.xml", "is_dir": False, "data": text}, {"ord": 1, "name": "b.xml", "is_dir": False, "data": b"fine"}], "docx"))
+    at = data.index(b"a.xml") + 40
+    data[at : at + 10] = b"\xff" * 10
+    assert [(e["name"], e["data"]) for e in ar.read_entries(bytes(data))] == [("a.xml", b""), ("b.xml", b"fine")]
+
+
 def test_batch(spark, tmp_path):
     docx = ar.write_entries([{"ord": 0, "name": "word/document.xml", "is_dir": False, "data": "汉".encode()}], "docx")
     rows = [(0, "/in/a.txt", "汉\r\n字".encode()), (1, "/in/b.docx", docx), (2, "/in/c.pdf", "一页|二页".encode()), (3, "/in/d.exe", b""), (4, "/in/gone.txt", None), (5, "/in/e", b"\xff")]

@@ -4,6 +4,8 @@ from hypothesis import strategies as st
 
 from inkstone.operators import reflow as rf
 
+from . import brute_reflow
+
 CASES = [
     ("第一章 开始\n今天天气很好，\n我们出去走走。", False, ["第一章 开始", "今天天气很好，我们出去走走。"]),
     ("他慢慢走进房间看了又看\n\n然后坐下。", False, ["他慢慢走进房间看了又看然后坐下。"]),
@@ -41,6 +43,18 @@ def test_segments_keep_what_they_join(text, header):
     assert len(found) <= len(lines)
 
 
+WORDS = [
+    "汉字", "他说", "abc", "Chapter 1", "（", "）", "【完】", "(a)", "“", "”", "「走。」", "『", "』", "﹁", "。", "！", "，", "：", "…", "...", ".", "、", " ", "　", "\t", "\n", "\n", "\n\n",
+    "- ", "1、", "（二）", "12) ", "三. ", "第三章", "番外", "前言", "卷一", "作者：", "书名　", "=== [Page 1/2] ===", "=====", "─── ", "x x x ", "哈哈哈哈" * 3, "长" * 130, "\r\n", "1",
+]
+
+
+@settings(max_examples=2500, deadline=None)
+@given(st.one_of(st.lists(st.sampled_from(WORDS), max_size=40).map("".join), st.text(ALPHABET, max_size=80)), st.booleans())
+def test_segments_against_the_rules(text, header):
+    assert [s for _, s in rf.segments(text, header)] == brute_reflow.segments(text, header)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("（）()【】汉a", max_size=20))
 def test_brackets_against_deletion(text):
