@@ -15,7 +15,8 @@ have and quote makes no pairs.
 
 Defined cases: null text is an empty message that quotes nothing; a message of quotes only has empty text; a quote that no
 earlier message has is counted but links nothing; equal passages link to the latest earlier turn; rows that repeat (conversation,
-turn) are kept, with positions of their own, and answer the same message; rows with a null conversation or turn are kept with null position; other
+turn) are kept, with positions of their own, and answer the same message; very long messages, lines and runs of marks are parsed whole; an
+empty table gives no rows; rows with a null conversation or turn are kept with null position; other
 columns are not read.
 """
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import materialise, two_level_rank
+from ._store import join_hot, materialise, two_level_rank
 
 #: Turns that one task ranks together.
 TURN_RANGE = 1024
@@ -35,32 +36,41 @@ def _normal(text: Column) -> Column:
 
 
 def _parsed(text: Column) -> Column:
-    """For each line its level and what follows the marks."""
-    marks = r"^[\x20\x09]*((?:>[\x20\x09]?)*)"
+    """For each line its level, the marks among the marks and blanks that it begins with, and what follows the last mark and one blank."""
 
     def line(raw: Column) -> Column:
-        return F.struct(F.length(F.regexp_replace(F.regexp_extract(raw, marks, 1), r"[^>]", "")).alias("level"), F.when(raw.rlike(r"^[\x20\x09]*>"), F.regexp_replace(raw, marks, "")).otherwise(raw).alias("body"))
+        marks = F.regexp_replace(F.regexp_extract(raw, r"^[\x20\x09>]*", 0), r"[\x20\x09]+", "")
+        return F.struct(F.length(marks).alias("level"), F.regexp_replace(raw, r"^[\x20\x09>]*>[\x20\x09]?", "").alias("body"))
 
     return F.transform(F.split(text, r"\r?\n", -1), line)
 
 
 def _passages(lines: Column) -> Column:
-    """Maximal runs of one level as (level, text), with line feeds kept; blank texts dropped."""
-    kind = "array<struct<level:int,text:string>>"
+    """Maximal runs of one level as (level, text), with line feeds kept; blank texts dropped. Linear in the lines."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        same = (F.size(acc) > 0) & (last["level"] == x["level"])
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat(last["text"], F.lit("\n"), x["body"]).alias("text"))))
-        return F.when(same, grown).otherwise(F.concat(acc, F.array(F.struct(x["level"].alias("level"), x["body"].alias("text"))))).cast(kind)
+    def runs(x: Column, starts: Column) -> Column:
+        def run(s: Column, k: Column) -> Column:
+            after = F.coalesce(F.get(starts, k + 1), F.size(x) + 1)
+            return F.struct(F.get(x, s - 1)["level"].alias("level"), F.array_join(F.transform(F.slice(x, s, after - s), lambda y: y["body"]), "\n").alias("text"))
 
-    return F.filter(F.aggregate(lines, F.array().cast(kind), step), lambda p: _normal(p["text"]) != "")
+        return F.transform(starts, run)
+
+    def begins(x: Column) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.size(x)), lambda i: (i == 1) | (F.get(x, i - 1)["level"] != F.get(x, i - 2)["level"]))
+
+    # lines and starts are bound by lambdas, so that they are made once
+    whole = F.transform(F.array(lines), lambda x: F.transform(F.array(begins(x)), lambda starts: runs(x, starts))[0])[0]
+    return F.filter(whole, lambda p: _normal(p["text"]) != "")
 
 
 def _units(passage: Column) -> Column:
     """A passage, its paragraphs and its lines as (kind, text): 2, 1 and 0."""
     parts = [F.array(passage), F.split(passage, r"\r?\n(?:[\x20\x09\r]*\n)+", -1), F.split(passage, r"\r?\n", -1)]
-    return F.concat(*(F.transform(x, lambda t, k=k: F.struct(F.lit(k).alias("kind"), _normal(t).alias("text"))) for k, x in zip((2, 1, 0), parts, strict=True)))
+
+    def of(kind: int, texts: Column) -> Column:
+        return F.transform(texts, lambda t: F.struct(F.lit(kind).alias("kind"), _normal(t).alias("text")))
+
+    return F.concat(*(of(kind, x) for kind, x in zip((2, 1, 0), parts, strict=True)))
 
 
 def _latest_before(quotes: DataFrame, own: DataFrame) -> DataFrame:
@@ -105,10 +115,13 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: st
     answers = materialise(answers, "answers")
 
     # pointer doubling: each message that answers points at an ancestor, at first at what it answers
-    up = answers.select("conv", "turn", F.col("reply_to").alias("root"))
-    while not answers.isEmpty():
-        above = up.select("conv", F.col("turn").alias("root"), F.col("root").alias("higher"))
-        moved = materialise(up.join(above, ["conv", "root"], "left").select("conv", "turn", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "threads")
+    up, total = answers.select("conv", "turn", F.col("reply_to").alias("root")), answers.count()
+    while total:
+        # a message that many answer is one key
+        keyed = up.withColumn("place", F.struct("conv", "root"))
+        fans = keyed.groupBy("place").agg(F.count(F.lit(1)).alias("fan"))
+        above = up.select(F.struct("conv", F.col("turn").alias("root")).alias("place"), F.col("root").alias("higher")).join(fans, "place")
+        moved = materialise(join_hot(keyed, above, "place", "fan", total).select("conv", "turn", F.coalesce("higher", "root").alias("root"), F.col("higher").isNotNull().alias("moved")), "threads")
         up = moved.select("conv", "turn", "root")
         if moved.where("moved").isEmpty():
             break
@@ -116,10 +129,9 @@ def link_quotations(messages: DataFrame, conversation: str = "conv_id", turn: st
     rows = base.select("conv", "turn", *(f"x_{c}" for c in extra), "clean", "n_quotes", "max_level").join(answers.join(up, ["conv", "turn"]), ["conv", "turn"], "left")
     rows = rows.withColumn("root", F.coalesce("root", "turn")).withColumn("n_linked", F.coalesce("n_linked", F.lit(0).cast("long")))
     order = [F.col("root"), F.col("turn"), F.col("clean"), *(F.col(f"x_{c}") for c in extra)]
-    # parts are ordered like the rows: by root, and within a large thread by ranges of turns
-    whole = rows.where("conv is not null and turn is not null")
-    part = F.struct("root", F.floor(F.col("turn") / TURN_RANGE).alias("range"))
-    ranked = two_level_rank(whole, ["conv"], order, part, "position")
+    # parts are ranges of the order of the rows, written so that a part stays what it is
+    whole = rows.where("conv is not null and turn is not null").repartitionByRange("conv", "root", "turn").withColumn("range", F.spark_partition_id())
+    ranked = two_level_rank(materialise(whole, "ordered"), ["conv"], order, F.col("range"), "position").drop("range")
     rest = rows.where("conv is null or turn is null").withColumn("position", F.lit(None).cast("long"))
     out = ranked.unionByName(rest.select(*ranked.columns))
     return out.select(F.col("conv").alias("conv_id"), "position", "turn", *(F.col(f"x_{c}").alias(c) for c in extra), F.col("clean").alias("text"), "n_quotes", "max_level", "n_linked", "reply_to", "root")

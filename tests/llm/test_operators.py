@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from inkstone.llm import decontam, dedup, licenses, lines, packing, pii, quality, quoting, sharding, warc
 from inkstone.llm._bytes import blocks
@@ -137,6 +138,7 @@ def test_bands_reject_repeats_base64_and_random_letters():
     rng = random.Random(3)
     prose = re.sub(r"\s+", " ", " ".join(t for _, t in licenses.TEMPLATES if len(t) > 300)).encode()
     verdict = lambda raw: quality._measure(raw, limits, packer)[3]
+    assert verdict(b"spam " * 10) == verdict((b"the same words again " * 9)[:150]) == "repetitive" and verdict(b"It rains today, but tomorrow we walk to the old mill by the river.") is None
     for n in (500, 900, 1800, 3000):
         assert verdict(prose[:n]) is None
     for n in (900, 3000, 9000, 40000):
@@ -222,6 +224,31 @@ def test_item_blocks(spark, docs, monkeypatch):
     whole = {(r.doc_id, tuple(r["items"]), str(r.hits)) for r in decontam.find_contamination(docs, items).collect()}
     monkeypatch.setattr(decontam, "BLOCK_TEXT", 150)
     assert {(r.doc_id, tuple(r["items"]), str(r.hits)) for r in decontam.find_contamination(docs, items).collect()} == whole
+    assert {r.doc_id for r in decontam.drop_contaminated(docs, items).collect()} == {i for i, found, _ in whole if not found}
+
+
+# --- forest ----------------------------------------------------------------------------------------------------------
+
+
+def test_forest_pairs_share_their_prefixes(spark):
+    rng = np.random.default_rng(6)
+    assert dedup.common_prefixes(np.array([0, 0, 0, 1]), np.array([[1, 2, 3], [1, 2, 4], [5, 2, 4], [5, 2, 4]])).tolist() == [2, 0, 0]
+    values = rng.integers(0, 2, (300, dedup.TREES * dedup.DEPTH)).astype(">u4")
+    reps = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(values)], "doc_id long, sig binary").repartition(5)
+    rows = dedup._forest(reps).collect()
+    pairs = [r for r in rows if r.kind == 0]
+
+    def shared(u, v):
+        same = (values[u] == values[v]).reshape(dedup.TREES, dedup.DEPTH)
+        return np.cumprod(same, axis=1).sum(axis=1)
+
+    assert len(pairs) > 10_000 and all(r.u < r.v and r.prefix >= dedup.MIN_DEPTH and r.prefix in shared(r.u, r.v) for r in pairs)
+    # whoever shares MIN_DEPTH values with more than the neighbourhood is a member of that bucket
+    members = {(r.key, r.u) for r in rows if r.kind == 1}
+    for t in range(dedup.TREES):
+        heads = [v[t * dedup.DEPTH : t * dedup.DEPTH + dedup.MIN_DEPTH].tobytes() for v in values]
+        for i, h in enumerate(heads):
+            assert heads.count(h) <= dedup.NEIGHBOURS + 1 or (bytes([t]) + h, i) in {(bytes(k), u) for k, u in members}
 
 
 # --- packing ---------------------------------------------------------------------------------------------------------
@@ -262,6 +289,19 @@ def test_exact_finds_any_combination(counts, gap):
     assert (got is not None) == there and (got is None or sum(got) == gap and all(stock.counts[x] >= got.count(x) for x in got))
 
 
+def test_exact_finds_any_combination_as_stock_runs_out():
+    rng = random.Random(2)
+    for _ in range(150):
+        stock = packing.Sums(np.array([0, *(rng.choice((0, 0, 1, 2)) for _ in range(14)), *[0] * 14]))
+        for _ in range(4):
+            lengths = [i for i, n in enumerate(stock.counts) for _ in range(n)]
+            if not lengths:
+                break
+            sums = {sum(c) for k in (1, 2, 3) for c in itertools.combinations(lengths, k)}
+            assert {gap for gap in range(1, 29) if stock.exact(gap)} == {x for x in sums if x < 29}
+            stock.take(rng.choice(lengths), 1)
+
+
 def test_exact_tries_a_members_other_pairs():
     assert packing.Sums(np.array([0, 0, 1, 2, 1, 0, 0, 0, 0, 0, 0])).exact(10) == (4, 3, 3)
 
@@ -391,18 +431,105 @@ def test_quoted_excerpts(spark):
     assert got == {0: (None, 0, 0, 0), 1: (None, 1, 0, 0), 2: (0, 0, 1, 1), 3: (None, 3, 0, 0), 4: (3, 3, 1, 1), 5: (3, 3, 1, 1), 6: (3, 3, 1, 1), 7: (None, 7, 1, 0)}
 
 
+def brute_threads(rows):
+    """(conversation, turn) -> (text, n_quotes, n_linked, reply_to, root), and each conversation's turns in order, for distinct places."""
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t).strip(" ").lower()
+    units = lambda t: [(2, norm(t))] + [(1, norm(x)) for x in re.split(r"\n(?:[ \t]*\n)+", t)] + [(0, norm(x)) for x in t.split("\n")]
+    parsed, raw = {}, {(conv, turn): text for conv, turn, text in rows}
+    for conv, turn, text in rows:
+        passages = []
+        for line in text.split("\n"):
+            lead = re.match(r"[ \t>]*", line)[0]
+            level, body = lead.count(">"), line
+            if level:
+                body = line[lead.rindex(">") + 1 :]
+                body = body[1:] if body[:1] in (" ", "\t") else body
+            if passages and passages[-1][0] == level:
+                passages[-1][1] += "\n" + body
+            else:
+                passages.append([level, body])
+        parsed[conv, turn] = [(n, t) for n, t in passages if norm(t)]
+    own = {place: {u for n, t in passages if n == 0 for _, u in units(t) if u} for place, passages in parsed.items()}
+    out, order = {}, {}
+    for (conv, turn), passages in sorted(parsed.items()):
+        found = {}
+        for level, text in passages:
+            if level:
+                by_unit = {}
+                for kind, u in units(text):
+                    if u:
+                        by_unit[u] = max(kind, by_unit.get(u, 0))
+                shares = collections.Counter()
+                for u, kind in by_unit.items():
+                    if before := [t for c, t in parsed if c == conv and t < turn and u in own[c, t]]:
+                        shares[kind, max(before)] += len(u)
+                if shares:
+                    found[level, norm(text)] = max((kind, n, source) for (kind, source), n in shares.items())
+        answer = max(((-level, kind, source) for (level, _), (kind, _, source) in found.items()), default=(0, 0, None))[2]
+        root = turn if answer is None else out[conv, answer][4]
+        # a message without marks stays as it is
+        clean = "\n".join(t for n, t in passages if n == 0).strip(" \t\r\n") if re.search(r"^[ \t]*>", raw[conv, turn], re.M) else raw[conv, turn]
+        out[conv, turn] = (clean, sum(n > 0 for n, _ in passages), len(found), answer, root)
+        order.setdefault(conv, []).append((root, turn))
+    return out, {c: [t for _, t in sorted(x)] for c, x in order.items()}
+
+
+def test_quotations_against_brute_force(spark):
+    rng = random.Random(21)
+    said = [f"{a} {b}" for a in ("alpha", "beta", "gamma", "delta") for b in ("one", "two", "three", "four")]
+    rows = []
+    for conv in range(4):
+        texts = []
+        for turn in range(60):
+            lines_ = []
+            for _ in range(rng.randint(0, 2)):
+                if texts:
+                    old = rng.choice(texts).split("\n")
+                    a = rng.randrange(len(old))
+                    lines_ += [rng.choice(("> ", ">", " > ")) + x for x in old[a : a + rng.randint(1, 4)]]
+                lines_ += [rng.choice(said)] * rng.randint(0, 1)
+            lines_ += [rng.choice([*said, "", f"own {turn}"]) for _ in range(rng.randint(1, 4))]
+            texts.append("\n".join(lines_))
+            rows.append((conv, turn * rng.choice((1, 1, 1000)) if not turn else rows[-1][1] + rng.choice((1, 900)), texts[-1]))
+    want, order = brute_threads(rows)
+    linked = quoting.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(4), extra=()).collect()
+    assert {(r.conv_id, r.turn): (r.text, r.n_quotes, r.n_linked, r.reply_to, r.root) for r in linked} == want
+    assert {c: [r.turn for r in sorted(linked, key=lambda r: r.position) if r.conv_id == c] for c in order} == order
+    assert sum(x[3] is not None for x in want.values()) > 60
+
+
+def test_quotations_in_long_conversations_and_long_messages(spark):
+    marks = ">" * 100_000
+    rows = [(1, t, f"a message of its own {t}") for t in range(3000)] + [(1, t, "> a message of its own 0\nthis answers the first") for t in range(3000, 4000)]
+    rows += [(2, 0, marks + " deep"), (2, 1, "\n".join("> " * (i % 2) + f"line {i}" for i in range(20_000))), (2, 2, "> line 19998\nyes")]
+    got = {(r.conv_id, r.turn): r for r in quoting.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(3), extra=()).collect()}
+    place = {t: (t if t == 0 else t + 1000 if t < 3000 else t - 2999) for t in range(4000)}
+    assert {t: got[1, t].position for t in range(4000)} == place and {got[1, t].root for t in range(3000, 4000)} == {0}
+    assert got[2, 0].max_level == 100_000 and got[2, 1].n_quotes == 10_000 and got[2, 2].reply_to == 1
+
+
 # --- lines -----------------------------------------------------------------------------------------------------------
 
 
-def brute_lines(texts, table):
-    """The texts (by id) without duplicate lines, given the SimHash of each (id, line)."""
+def edit_distance(a, b):
+    """Levenshtein distance, a row at a time."""
+    y = np.array([ord(c) for c in b], np.int64)
+    place = np.arange(len(b) + 1)
+    row = place.copy()
+    for i, c in enumerate(a, 1):
+        best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != ord(c)))])
+        row = np.minimum.accumulate(best - place) + place
+    return int(row[-1])
+
+
+def brute_lines(texts):
+    """The texts (by id) without duplicate lines, all pairs of lines compared by edit similarity alone."""
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
-    first, sims = {}, {}
+    first = {}
     for i in sorted(texts):
         for k, x in enumerate(texts[i].split("\n") if texts[i] is not None else []):
             if norm(x):
                 first.setdefault(norm(x), (i, k))
-                sims[norm(x)] = table[i, k] & (2**64 - 1)
     parent = {u: u for u in first}
 
     def find(a):
@@ -410,58 +537,63 @@ def brute_lines(texts, table):
             a = parent[a]
         return a
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    keys = list(first)
-    for i, a in enumerate(keys):
-        for b in keys[i + 1 :]:
-            n = max(len(a), len(b))
-            if (sims[a] ^ sims[b]).bit_count() <= 3 and 100 * min(len(a), len(b)) >= 80 * n and distance(a, b) <= n * 20 // 100:
-                x, y = sorted((find(a), find(b)), key=first.get)
-                parent[y] = x
+    for a, b in itertools.combinations(first, 2):
+        n = max(len(a), len(b))
+        if 100 * min(len(a), len(b)) >= 80 * n and find(a) != find(b) and edit_distance(a, b) <= n * 20 // 100:
+            x, y = sorted((find(a), find(b)), key=first.get)
+            parent[y] = x
     return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not norm(x) or first[find(norm(x))] == (i, k)) for i, t in texts.items()}
 
 
 def test_line_dedup(docs, none):
     texts = dict(enumerate(make_texts()))
-    table = {(r.doc_id, r.line_no): r.sim for r in lines.line_table(docs, "doc_id", "text").collect()}
-    want, got = brute_lines(texts, table), by_id(lines.dedup_lines(docs))
+    want, got = brute_lines(texts), by_id(lines.dedup_lines(docs))
     assert {i: {r.text for r in rows} for i, rows in got.items()} == {i: {t} for i, t in want.items()}
     assert sum(map(len, got.values())) == docs.count() and lines.dedup_lines(docs).columns == [*docs.columns, "n_lines_removed"]
     assert lines.dedup_lines(none).count() == 0
 
 
-def test_simhash_of_long_lines(spark):
-    rng = random.Random(4)
-    texts = [" ".join(f"v{rng.randrange(5000)}" for _ in range(n)) for n in (1, 2, 511, 512, 1500)]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    words = sorted({w for t in texts for w in t.split()})
-    hashed = {r.w: r.h & (2**64 - 1) for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) AS h").collect()}
-    for r in lines.line_table(df, "doc_id", "text").collect():
-        h = [hashed[w] for w in set(texts[r.doc_id].split())]
-        top = max(h, key=lambda x: x - 2**64 if x >> 63 else x)
-        want = 0
-        for b in range(64):
-            n = sum(x >> b & 1 for x in h)
-            want |= (2 * n > len(h) or 2 * n == len(h) and top >> b & 1) << b
-        assert r.sim & (2**64 - 1) == want
+def test_line_dedup_of_a_large_group_apart_from_its_leader(spark):
+    # variants of one line of ten words, two words off: near their original, not near each other
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    base = [word() for _ in range(10)]
+    texts = []
+    for _ in range(40):
+        w = list(base)
+        for k in rng.sample(range(10), 2):
+            w[k] = word()
+        texts.append(" ".join(w))
+    # a frequent stranger with the words at the front leads their common buckets
+    texts += [" ".join(base[:6] + [word() for _ in range(5)])] * 3 + [" ".join(base)]
+    rng.shuffle(texts)
+    want = brute_lines(dict(enumerate(texts)))
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert got == want and sum(bool(t) for t in want.values()) == 2
 
 
-def edit_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+def test_line_dedup_of_long_lines_and_clashing_columns(spark):
+    rng = random.Random(3)
+    w = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    near = [x if rng.random() > 0.05 else f"x{rng.randrange(10**6)}" for x in w]
+    other = [f"y{rng.randrange(10**6)}" for _ in range(60_000)]
+    solid = "".join(rng.choice("abcdefgh0123456789") for _ in range(300_000))
+    texts = [" ".join(w), " ".join(near), " ".join(other), solid, solid[:100_000] + "-" + solid[100_001:]]
+    rows = [(i, t, i, f"n{i}", True, [i], i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone long, _row_key string, _new boolean, n_lines_removed array<long>, uid long")
+    got = lines.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "_gone", "_row_key", "_new", "uid", "n_lines_removed"]
+    assert sorted((r.doc_id, r.text, r._gone, r._row_key, r.n_lines_removed) for r in got.collect()) == [(i, "" if i in (1, 4) else t, i, f"n{i}", int(i in (1, 4))) for i, t in enumerate(texts)]
+
+
+def test_simhash(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"v{rng.randrange(5000)}" for _ in range(n)) for n in (1, 15, 16, 64, 512)]
+    of_words = lambda x: F.expr(f"transform(array(split(norm, ' ')), ws -> {x})[0]")
+    df = spark.createDataFrame([(t,) for t in texts], "norm string")
+    for r in df.select("norm", of_words(lines.simhash()).alias("s"), of_words(f"IF(size(ws) > 1, {lines._runs('ws', 2)}, array())").alias("h")).collect():
+        h = sorted(set(r.h))[:63]
+        assert r.s == (sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(60)) if len(r.norm.split()) >= 16 else None)
 
 
 def test_line_dedup_finds_what_edit_distance_finds(spark):
@@ -552,6 +684,12 @@ def test_strict_spans(text):
     assert pii.base_spans(text) == strict_spans(text)
 
 
+def test_strict_spans_of_very_long_runs():
+    for text in ("7" * 1_000_000, "1." * 300_000, "1..2." * 100_000 + "1.2.3.4", "+1" + " (" * 200_000, "a" * 500_000 + "@" + "b" * 500_000, "- " * 300_000 + "4111-1111-1111-1111"):
+        assert [(k, b - a) for a, k, b in pii.base_spans(text)][-1:] == {"1": [(1, 7)], "-": [(2, 19)]}.get(text[0], [])
+        pii.candidates(text)
+
+
 def test_personal_data(spark, docs, none):
     rng = random.Random(3)
     texts = [f"w1 w2 mail me at ab{i}.c@mail.example.com or {rng.randint(1, 255)}.1.2.{i} w3" for i in range(40)] + [f"contact us: jo{i} (at) example (dot) org w4" for i in range(40)] + [None, "", "clean words only", "order 1234567890123 of page 5"]
