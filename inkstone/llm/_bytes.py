@@ -98,8 +98,8 @@ class Block:
         return total[self.off[1:]] - total[self.off[:-1]]
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[Block]:
-    """The column in blocks of whole rows of about BLOCK_BYTES."""
+def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int = BLOCK_BYTES) -> Iterator[Block]:
+    """The column in blocks of whole rows of about `size` bytes."""
     for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
         if not len(chunk):
             continue
@@ -111,7 +111,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[
         data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         a = 0
         while a < len(chunk):
-            b = max(a + 1, int(np.searchsorted(off, off[a] + BLOCK_BYTES, "right")) - 1)
+            b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
             part = data[off[a] : off[b]]
             yield Block(LOWER[part] if lower else part, off[a : b + 1] - off[a], a)
             a = b

@@ -15,9 +15,11 @@ HOT_SHARE = 1 / 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="inkstone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -34,10 +36,21 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bound_arrow_batches(spark: SparkSession, rows: int = 4000) -> None:
-    """Keep Arrow batches small, so that Python workers hold a few MB of text at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def fresh_name(df: DataFrame, name: str) -> str:
+    """name, with underscores after it until no column of df begins with it."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name += "_"
+    return name
+
+
+def bound_arrow_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches within 4000 rows and 16 MB, so that Python workers hold a few MB of text at a time; lower settings stay."""
+    for name, most in (("maxRecordsPerBatch", 4000), ("maxBytesPerBatch", 16 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = str(spark.conf.get(key, None)).lower().rstrip("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

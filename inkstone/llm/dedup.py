@@ -3,9 +3,9 @@
 1. One pass over the texts gives each document's shingle count, a 128-bit key of its shingle set and a MinHash signature.
 2. Documents with equal sets form a class; its smallest id stands for it.
 3. Each representative has a label (DEPTH MinHash values) in each of TREES trees. The trees are sorted by label over range
-   partitions that may cut anywhere, hot labels included. Neighbours in this order share the longest prefixes, so each
-   document meets its NEIGHBOURS next ones, provided that they share MIN_DEPTH values: in sparse regions that is the whole
-   bucket, in dense ones the order goes as deep as the labels do.
+   partitions that may cut anywhere, hot labels included. The longest common prefix of each label with the next one is computed; a
+   document meets its NEIGHBOURS next ones with which it shares MIN_DEPTH values at least. In sparse regions that is the whole bucket; in
+   dense ones the neighbours are those with the longest prefixes, so the depth follows the region. Candidates are ranked by the sum of their prefixes.
 4. Each document's best smaller partner is confirmed on full sets, which already connects most of a group.
 5. The rest: buckets larger than the neighbourhood that still hold several components are finished exactly, minority against all,
    in blocks, by an inverted index on full sets (see _finish). Members that are already connected need no more links, so
@@ -17,7 +17,8 @@ Shingles are 64-bit hashes of the words' bytes.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with nothing; fewer words than a shingle
 make one shingle; ties take the smaller id; rows that repeat a doc_id are one node of the graph and each keep their row;
-rows with a null doc_id are linked with nothing and kept; other columns are not read.
+rows with a null doc_id are linked with nothing and kept; a very long text is one set, whole; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -96,57 +97,75 @@ def _signatures(docs: DataFrame, words_per: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
+def _label_matrix(labels: pa.Array) -> np.ndarray:
+    """Labels of DEPTH big-endian 32-bit values as rows of a matrix."""
+    off = np.frombuffer(labels.buffers()[1], np.int32)[labels.offset : labels.offset + len(labels) + 1]
+    return np.frombuffer(labels.buffers()[2], np.uint8)[off[0] : off[-1]].view(">u4").reshape(len(labels), DEPTH).astype(np.uint32)
+
+
+def common_prefixes(trees: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """How many leading values each row shares with the next one of its tree (0 across trees)."""
+    same = (labels[1:] == labels[:-1]) & (trees[1:] == trees[:-1])[:, None]
+    return np.cumprod(same, axis=1).sum(axis=1)
+
+
 def _forest(reps: DataFrame) -> DataFrame:
-    """Candidate pairs (u < v, kind 0), and members (u, with key) of buckets beyond the neighbourhood (kind 1)."""
+    """Candidate pairs (kind 0: u < v, prefix), and members (kind 1: u, with key) of buckets beyond the neighbourhood.
+
+    In the sorted order, two documents share the least of the common prefixes of the neighbours between them. The neighbours of a
+    document are thus those with the longest prefixes, as deep as its region is dense.
+    """
     width = 4 * DEPTH
     labels = F.array(*(F.substring("sig", 1 + t * width, width) for t in range(TREES)))
     rows = reps.select("doc_id", F.posexplode(labels).alias("tree", "label"))
     ordered = rows.repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id")
-    schema = "kind int, u long, v long, key binary"
+    schema = "kind int, u long, v long, prefix int, key binary"
 
-    def emit(ids, keys, bounds, ends_here) -> Iterator[pa.RecordBatch]:
-        """Whole runs of equal keys; bounds are their borders. A run that may go on in another partition counts as large."""
-        size = np.diff(bounds)
-        run = np.repeat(np.arange(len(size)), size)
-        us, vs = [], []
+    def emit(ids, trees, labels, shared, ends_here) -> pa.RecordBatch:
+        """Of whole runs of rows that share MIN_DEPTH values. A run that may go on in another partition counts as large."""
+        us, vs, depths = [], [], []
+        depth = shared.copy()
         for s in range(1, NEIGHBOURS + 1):
-            at = np.flatnonzero(run[s:] == run[:-s]) if len(run) > s else np.zeros(0, np.int64)
+            depth = shared if s == 1 else np.minimum(depth[:-1], shared[s - 1 :])
+            at = np.flatnonzero(depth >= MIN_DEPTH)
             us.append(np.minimum(ids[at], ids[at + s]))
             vs.append(np.maximum(ids[at], ids[at + s]))
-        us, vs = np.concatenate(us), np.concatenate(vs)
-        large = size > NEIGHBOURS + 1
+            depths.append(depth[at])
+        us, vs, depths = (np.concatenate(x) for x in (us, vs, depths))
+        run = np.concatenate([[0], np.cumsum(shared < MIN_DEPTH)])
+        large = np.bincount(run) > NEIGHBOURS + 1
         large[[0] if ends_here[0] else []] = True
         large[[-1] if ends_here[1] else []] = True
         member = np.flatnonzero(large[run])
         n, m = len(us), len(member)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat([0, 1], [n, m]).astype(np.int32)), pa.array(np.concatenate([us, ids[member]])), pa.concat_arrays([pa.array(vs), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.nulls(n, pa.binary()), keys.take(pa.array(member))])],
-            names=["kind", "u", "v", "key"],
+        keys = np.concatenate([trees[member, None].astype(np.uint8), labels[member, :MIN_DEPTH].astype(">u4").view(np.uint8).reshape(m, 4 * MIN_DEPTH)], axis=1)
+        size = 1 + 4 * MIN_DEPTH
+        fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), m, [None, pa.py_buffer(np.ascontiguousarray(keys).tobytes())]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat([0, 1], [n, m]).astype(np.int32)), pa.array(np.concatenate([us, ids[member]])), pa.concat_arrays([pa.array(vs), pa.nulls(m, pa.int64())]), pa.concat_arrays([pa.array(depths.astype(np.int32)), pa.nulls(m, pa.int32())]), pa.concat_arrays([pa.nulls(n, pa.binary()), fixed])],
+            names=["kind", "u", "v", "prefix", "key"],
         )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: tuple[np.ndarray, ...] | None = None
         opening = True
         for batch in batches:
-            part = pa.table({"id": batch.column(0), "key": pa.array([bytes([t]) + b[: 4 * MIN_DEPTH] for t, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)], pa.binary())})
-            held = pa.concat_tables([held, part]) if held is not None else part
+            if not batch.num_rows:
+                continue
+            part = (batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), _label_matrix(batch.column(2)))
+            held = tuple(np.concatenate(x) for x in zip(held, part, strict=True)) if held else part
             # a run that goes on stays for the next batch, up to a bound beyond which it is cut and counts as large anyway
-            keys = held["key"].combine_chunks()
-            flat = np.array(keys.to_pylist(), object)
-            change = np.flatnonzero(flat[1:] != flat[:-1]) + 1
+            shared = common_prefixes(held[1], held[2])
+            change = np.flatnonzero(shared < MIN_DEPTH) + 1
             stop = int(change[-1]) if len(change) else 0
-            cut = len(held) - stop > 1 << 16
+            cut = len(held[0]) - stop > 1 << 16
             if cut:
-                stop = len(held) - NEIGHBOURS
+                stop = len(held[0]) - NEIGHBOURS
             if stop:
-                bounds = np.concatenate([[0], change[change < stop], [stop]])
-                yield from emit(held["id"].to_numpy()[:stop], keys.slice(0, stop), bounds, (opening, cut))
-                held, opening = held.slice(stop), cut
-        if held is not None and len(held):
-            keys = held["key"].combine_chunks()
-            flat = np.array(keys.to_pylist(), object)
-            change = np.flatnonzero(flat[1:] != flat[:-1]) + 1
-            yield from emit(held["id"].to_numpy(), keys, np.concatenate([[0], change, [len(held)]]), (opening, True))
+                yield emit(*(x[:stop] for x in held), shared[: stop - 1], (opening, cut))
+                held, opening = tuple(x[stop:] for x in held), cut
+        if held and len(held[0]):
+            yield emit(*held, common_prefixes(held[1], held[2]), (opening, True))
 
     return ordered.mapInArrow(scan, schema)
 
@@ -275,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = signed.where("set_key is not null").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
     found = materialise(_forest(reps), "forest")
-    scored = materialise(found.where("kind = 0").where("u <> v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("score")), "candidates")
+    scored = materialise(found.where("kind = 0").where("u <> v").groupBy("u", "v").agg(F.sum("prefix").alias("score")), "candidates")
     best = scored.groupBy("v").agg(F.max_by("u", F.struct("score", -F.col("u"))).alias("u")).select("u", "v")
     tested = materialise(best, "tested")
     links = materialise(_confirm(base, tested, words_per, percent), "links")

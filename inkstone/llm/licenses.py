@@ -11,7 +11,8 @@ Normalisation: ASCII lower case, words of letters, digits and non-ASCII characte
 comment marks do not count. Templates may have placeholders (years, holders) that simply cost a few bigrams.
 
 Defined cases: null and empty text match nothing; units of one word have one pseudo-bigram; of templates that tie, the name that
-sorts first wins; repeated units count each; a very long text is scanned whole; other columns are not read.
+sorts first wins; repeated units count each; a very long text is scanned whole; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations

@@ -14,13 +14,17 @@ Tokens come from the `tokenizers` library. Texts are cut at single blanks betwee
 byte-level pre-tokeniser always begins a new word, and each distinct part is encoded once per worker and kept by 64-bit hash.
 
 Defined cases: null and empty text give the end token alone; a document of exactly `capacity` tokens is one full piece; repeated rows
-are packed each; an empty table gives no rows; other columns are not read.
+are packed each; a very long text is tokenised whole; pieces of equal length are placed in the order of partition and row, and of combinations
+that fit a gap alike the longest members win; an empty table gives no rows; other columns are not read, those named in `extra` are carried
+along and must have names of their own.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,7 +43,9 @@ from ._store import bound_arrow_batches, broadcast_if_small, materialise
 CAPACITY = 2048
 END_ID = 0
 #: Parts that a worker keeps encoded before it starts anew.
-KEPT_PARTS = 2_000_000
+KEPT_PARTS = 1_000_000
+#: Parts, and bytes of text, that are encoded at once.
+ENCODED_AT_ONCE, ENCODED_BYTES = 4096, 1 << 20
 #: Lead bytes in UTF-8 of white space outside ASCII.
 _SPACE_LEADS = np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8)
 
@@ -102,7 +108,8 @@ class PartEncoder:
         if len(new):
             raw = block.data.tobytes()
             texts = [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in where[new]]
-            encoded = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            # a few at a time, since encodings hold far more than their ids
+            encoded = [e.ids for a in range(0, len(texts), ENCODED_AT_ONCE) for e in self.tokenizer.encode_batch(texts[a : a + ENCODED_AT_ONCE], add_special_tokens=False)]
             sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
             fresh = np.fromiter((x for e in encoded for x in e), np.int32, int(sizes.sum()))
             slots = np.arange(len(self.first) - 1, len(self.first) - 1 + len(new))
@@ -128,13 +135,15 @@ def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id:
 
     Columns named in `extra` are carried along on each piece.
     """
+    if own := {x.lower() for x in extra} & {"doc_id", "piece", "start", "length", "ids", "part", "nth", "sequence_id", "offset", "shift", "_at"}:
+        raise ValueError(f"rename these extra columns: {sorted(own)}")
     schema = ", ".join(["doc_id long, piece int, start long, length long, ids array<int>, part int, nth long"] + [f"`{n}` {t}" for n, t in docs.select(*extra).dtypes])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = _encoder(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), size=ENCODED_BYTES):
                 ids, first = encoder.encode(block)
                 n = np.diff(first)
                 flat = np.full(len(ids) + block.rows, end_id, np.int32)
@@ -167,52 +176,63 @@ def tokenise(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id:
 
 
 class Sums:
-    """Bit indexes of the lengths in stock and of the sums of two of them."""
+    """Hash indexes from a sum to what makes it: the lengths in stock, pairs of them and triples.
+
+    Counts only fall, so a combination that they no longer allow is dropped from its index for good.
+    """
 
     def __init__(self, counts: np.ndarray):
-        self.counts, self.top = counts.tolist(), len(counts) - 1
-        self.singles = sum(1 << i for i, n in enumerate(self.counts) if n and i)
-        self.mirror = sum(1 << (self.top - i) for i, n in enumerate(self.counts) if n and i)
+        self.counts = np.asarray(counts).tolist()
+        self.lengths = [i for i, n in enumerate(self.counts) if n and i]  # ascending
+        self.singles = set(self.lengths)
+        top = len(self.counts) - 1
+        #: sum -> the longer members of its pairs, the longest last
+        self.pairs: dict[int, list[int]] = defaultdict(list)
+        for b in reversed(self.lengths):
+            for a in self.lengths[bisect_left(self.lengths, b) : bisect_right(self.lengths, top - b)]:
+                self.pairs[a + b].append(a)
+        #: sum -> where the search for its triples has come to: the greatest longest member that is still possible
+        self.triples: dict[int, int] = {}
 
     def take(self, length: int, times: int) -> None:
         self.counts[length] -= times
         if not self.counts[length]:
-            self.singles &= ~(1 << length)
-            self.mirror &= ~(1 << (self.top - length))
-
-    def pair(self, total: int, most: int | None = None, used: int = 0) -> tuple[int, int] | None:
-        """The pair (a >= b) of that sum with the longest a, if there is one with a <= most; one piece of length `used` is taken."""
-        shift = total - self.top
-        other = self.mirror << shift if shift >= 0 else self.mirror >> -shift  # bit a is set if total - a is in stock
-        both = self.singles & other & ((1 << min(total, (most or total) + 1)) - 1)
-        while both:
-            a = both.bit_length() - 1
-            if 2 * a < total:
-                return None
-            pair = (a, total - a)
-            if all(self.counts[x] >= pair.count(x) + (x == used) for x in pair):
-                return pair
-            both ^= 1 << a
+            self.singles.discard(length)
+            del self.lengths[bisect_left(self.lengths, length)]
+
+    def allowed(self, *members: int) -> bool:
+        return all(self.counts[x] >= members.count(x) for x in members)
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        """The pair (a >= b) of that sum with the longest a."""
+        found = self.pairs.get(total, [])
+        while found:
+            if self.allowed(found[-1], total - found[-1]):
+                return found[-1], total - found[-1]
+            found.pop()
+        return None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """The triple (a >= b >= c) of that sum with the longest a, then the longest b."""
+        at = bisect_right(self.lengths, self.triples.get(total, total - 2)) - 1
+        for a in reversed(self.lengths[: at + 1]):
+            if 3 * a < total:
+                break
+            self.triples[total] = a
+            others = self.pairs.get(total - a, [])
+            for b in reversed(others[: bisect_right(others, a)]):
+                if self.allowed(a, b, total - a - b):
+                    return a, b, total - a - b
+        self.triples[total] = 0
         return None
 
     def exact(self, gap: int) -> tuple[int, ...] | None:
         """One, two or three lengths in stock that sum to the gap; fewer and longer ones first."""
-        if self.singles >> gap & 1:
-            return (gap,)
-        if found := self.pair(gap):
-            return found
-        left = self.singles & ((1 << max(0, gap - 1)) - 1)
-        while left:
-            a = left.bit_length() - 1
-            if 3 * a < gap:
-                return None
-            if found := self.pair(gap - a, min(a, gap - a - 1), a):
-                return (a, *found)
-            left ^= 1 << a
-        return None
+        return (gap,) if gap in self.singles else self.pair(gap) or self.triple(gap)
 
     def longest(self, upto: int) -> int:
-        return (self.singles & ((1 << (upto + 1)) - 1)).bit_length() - 1
+        at = bisect_right(self.lengths, upto)
+        return self.lengths[at - 1] if at else 0
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:

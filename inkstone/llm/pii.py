@@ -12,11 +12,14 @@ at most KINDS * 2**BITS numbers, gathered over all documents by a partial aggreg
 small row per document; deciding reads that and never the texts again. No text is shuffled.
 
 Defined cases: null and empty text have no spans; a very long text is scanned whole; equal starts are ordered by kind as listed in KINDS;
-repeated rows give repeated results; no candidates at all train no classifier and add nothing; other columns are not read.
+repeated rows give repeated results; no candidates at all train no classifier and add nothing; an empty table gives
+no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -35,7 +38,7 @@ THRESHOLD = 0.9
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_DOTTED = re.compile(r"[0-9.]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -48,9 +51,15 @@ _IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![\w:
 _NAME = re.compile(r"\b(Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\.?[\x20]([A-ZÀ-Þ][\w'-]+(?:[\x20][A-ZÀ-Þ][\w'-]+)?)")
 _OBFUSCATED = re.compile(r"[(\[](?:at|dot)[)\]]|\sdot\s", re.I)
 
-# Gazetteers: fixed short lists.
-_MAIL_WORDS = frozenset("gmail yahoo hotmail outlook example mail icloud proton web gmx".split())
-_GIVEN_NAMES = frozenset("james mary john anna maria peter paul hans jean marie luis carmen david sarah thomas laura michael julia".split())
+# Gazetteers: fixed lists of mail providers and domains, and of common given names in English, German, French and Spanish.
+_MAIL_WORDS = frozenset("gmail googlemail yahoo ymail hotmail outlook live msn aol mail icloud me proton protonmail web gmx posteo mailbox freenet orange wanadoo laposte sfr free telefonica terra com org net edu gov de fr es uk io example".split())
+_GIVEN_NAMES = frozenset("""
+    james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen
+    christopher nancy daniel lisa matthew betty anthony margaret mark sandra donald ashley steven kimberly paul emily andrew donna joshua michelle
+    kenneth carol kevin amanda brian dorothy george melissa edward deborah hans peter anna maria klaus ursula wolfgang monika jürgen petra
+    stefan sabine andreas claudia martin julia jean marie pierre jeanne michel françoise jacques monique philippe nathalie luc sophie
+    luis carmen josé antonio manuel francisca juan isabel pedro dolores javier pilar laura lucía alejandro cristina pablo elena
+""".split())
 _CONTEXT = {
     "email": re.compile(r"mail|contact|write|kontakt|courriel|correo|escrib", re.I),
     "ip": re.compile(r"\bip\b|address|host|server|adresse|direcci", re.I),
@@ -63,8 +72,8 @@ _WINDOW = 40
 
 #: Labelers, in the order of their votes; each vote takes two bits: 0 none, 1 for, 2 against.
 LABELERS = ("strict regex", "loose regex", "gazetteer", "context", "counter-context", "shape")
-#: Features of the classifier, one bit each.
-FEATURES = ("base", "gazetteer", "context", "counter-context", "separators", "long", "at line start", "capital")
+#: Features of the classifier, one bit each. Whether a strict pattern matched is none of them, or it would only learn that.
+FEATURES = ("shape", "gazetteer", "context", "counter-context", "separators", "long", "at line start", "capital")
 BITS = 2 * len(LABELERS) + len(FEATURES)
 
 
@@ -92,6 +101,23 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _addresses(text: str) -> list[tuple[int, int]]:
+    """Leftmost groups of four numbers with single dots between, each at most 255; linear however long the digits run."""
+    out = []
+    for m in _DOTTED.finditer(text):
+        if m.end() - m.start() < 7 or m[0].count(".") < 3:
+            continue
+        parts, start, k = m[0].split("."), m.start(), 0
+        while k + 4 <= len(parts):
+            four = parts[k : k + 4]
+            step = 4 if all(four) else 1
+            if step == 4 and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+                out.append((start, start + sum(map(len, four)) + 3))
+            start += sum(len(p) + 1 for p in parts[k : k + step])
+            k += step
+    return out
+
+
 def _digits(s: str) -> str:
     return re.sub(r"[^0-9]", "", s)
 
@@ -102,7 +128,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
         return []
     out = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in re.sub(r"(?<![0-9])0+", "", m[0]).split("."))]
+        out += [(a, 1, b) for a, b in _addresses(text)]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
                 out.append((m.start(), 2, m.end()))
@@ -147,7 +173,7 @@ def candidates(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple
             2 if counter else 0,
             1 if shape else 2,
         )
-        features = (is_base, gaze, context, counter, bool(re.search(r"[\x20./-]", span)), len(span) > 12, start == 0 or text[start - 1] == "\n", span[:1].isupper())
+        features = (shape, gaze, context, counter, bool(re.search(r"[\x20./-]", span)), len(span) > 12, start == 0 or text[start - 1] == "\n", span[:1].isupper())
         pattern = 0
         for i, v in enumerate(votes):
             pattern |= v << (2 * i)
@@ -235,10 +261,15 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def merge(base: pd.Series, found: pd.Series) -> pd.Series:
         take, out = set(good), []
         for b, c in zip(base, found, strict=True):
-            spans = [(x["start"], x["kind"], x["end"]) for x in b]
+            spans, done = [(x["start"], x["kind"], x["end"]) for x in b], 0
+            # by start; `until` is how far the base spans before each one reach
+            starts = sorted(s for s, _, _ in spans)
+            until = list(itertools.accumulate((e for _, _, e in sorted(spans)), max))
             for x in sorted((x for x in c if x["kind"] * (1 << BITS) + x["pattern"] in take), key=lambda x: (x["start"], x["kind"], x["end"])):
-                if all(x["end"] <= s or x["start"] >= e for s, _, e in spans):
+                before = bisect.bisect_left(starts, x["end"])
+                if x["start"] >= done and not (before and until[before - 1] > x["start"]):
                     spans.append((x["start"], x["kind"], x["end"]))
+                    done = x["end"]
             out.append([{"start": s, "kind": k, "end": e} for s, k, e in sorted(spans)])
         return pd.Series(out, dtype=object)
 

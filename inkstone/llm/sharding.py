@@ -12,7 +12,8 @@ Slots are ranks in two levels, so that no task sorts a shard.
 
 Defined cases: null text has size `overhead` and the null checksum 0, and all nulls are one group; empty text is a group of its
 own; equal sizes are ordered by digest, rows of a group by id; repeated rows share a shard and have slots of their own;
-an empty table gives no rows; more shards than groups leaves shards empty; other columns are not read.
+a very long text is
+one group, whole; an empty table gives no rows; more shards than groups leaves shards empty; other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Revisits find their response by record id; ids with over 1/1024 of the revisits
 Defined cases: null html is an empty payload and null url a `urn:` target; empty and short payloads are always responses; a null page_id
 is a response of its own and comes back null; rows that repeat a page_id and its payload come back as often as they went in, as
 responses if that id is the smallest; a record whose segments or digest do not agree comes back with intact = false and
-no payload; an empty table gives no rows; other columns are not read.
+no payload; a very long payload is written in segments, whole; of equal payloads the smallest page_id is the response, nulls apart; an
+empty table gives no rows; other columns are not read. An archive is read as one row, so files may have 2 GB at most.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from ._store import bound_arrow_batches, broadcast_if_small, join_hot, materiali
 SEGMENT = 32 << 10
 CHUNK = 4 << 10
 MIN_REVISIT = 100
-RECORDS_PER_FILE = 5000
+#: Segments bound a record to SEGMENT bytes and its header, so a file holds about 33 MB before compression, whatever the pages' sizes.
+RECORDS_PER_FILE = 1000
 DATE = "2024-01-01T00:00:00Z"
 _HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -158,7 +160,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     A revisit has no payload here; resolve_revisits() adds what its response has.
     """
-    bound_arrow_batches(spark, 4)
+    bound_arrow_batches(spark)
     names = [*_FIELDS.values(), "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
