@@ -25,8 +25,6 @@ import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -216,28 +214,45 @@ def fold(leaf: str, path: list[tuple[str, str]]) -> str:
     return leaf
 
 
-def _proofs(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
-    """proof_sha256 and folded_root of the rows below one node."""
-    rows = rows.sort_values("idx")
-    path = [(x["left"], x["right"]) for x in above["path"].iloc[0]] if len(above) else []
-    levels, n = [rows["leaf"].tolist()], int(rows["n"].iloc[0])
-    first = int(rows["idx"].iloc[0])
+_PROOFS = "doc_id long, key binary, leaf string, proof_sha256 string, folded_root string"
+
+
+def _proved(key: bytes, n: int, path: list[tuple[str, str]], rows: list[tuple[int, str, str | None]]) -> pa.RecordBatch:
+    """The rows below one node with their proofs and the roots that they give. path: the siblings from that node up."""
+    levels = [[leaf for _, leaf, _ in rows]]
     while len(levels) <= CHUNK_LEVEL and n > 1:
         levels.append([_hash(levels[-1][k : k + FANOUT]) for k in range(0, len(levels[-1]), FANOUT)])
         n = -(-n // FANOUT)
     tail = "".join(a + b for a, b in path)
     proofs, roots = [], []
-    for k, start in enumerate(rows["tampered"].fillna(rows["leaf"])):
+    for k, (_, leaf, tampered) in enumerate(rows):
         siblings = []
         for nodes in levels[:-1]:
             a = k // FANOUT * FANOUT
             siblings.append(("".join(nodes[a:k]), "".join(nodes[k + 1 : a + FANOUT])))
             k //= FANOUT
         proofs.append(_hash([x for s in siblings for x in s] + [tail]))
-        roots.append(fold(start, siblings + path))
-    out = rows[["doc_id", "key", "leaf"]].copy()
-    out["proof_sha256"], out["folded_root"] = proofs, roots
-    return out
+        roots.append(fold(leaf if tampered is None else tampered, siblings + path))
+    columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([key] * len(rows), pa.binary()), pa.array(levels[0], pa.string()), pa.array(proofs, pa.string()), pa.array(roots, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _PROOFS.split(", ")])
+
+
+def _prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come in order of node and index, each node's path (index -1) before its rows."""
+    now, n, path, rows = (b"", -1), 0, [], []
+    for batch in batches:
+        for key, chunk, idx, size, doc, leaf, tampered, above in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (key, chunk) != now:
+                if rows:
+                    yield _proved(now[0], n, path, rows)
+                now, path, rows = (key, chunk), [], []
+            if idx < 0:
+                path = [(x["left"], x["right"]) for x in above]
+            else:
+                n = size
+                rows.append((doc, leaf, tampered))
+    if rows:
+        yield _proved(now[0], n, path, rows)
 
 
 def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, tampered: Column | None = None) -> DataFrame:
@@ -250,8 +265,8 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, tampered: Colu
     key = F.coalesce(F.concat(F.lit(b"="), F.encode(fields[1].cast("string"), "UTF-8")), F.lit(b""))
     changed = F.when(tampered.isNotNull() & ~tampered.eqNullSafe(fields[-1].cast("string")), leaf_hash(*fields[:-1], tampered)) if tampered is not None else F.lit(None).cast("string")
     rows = docs.select(fields[0].cast("long").alias("doc_id"), key.alias("key"), leaf_hash(*fields).alias("leaf"), changed.alias("tampered"))
-    # of rows with one id and leaf all have the same text, so the tampered leaf does not tell them apart either
-    leaves = materialise(with_index(rows, "key", ["doc_id", "leaf"]), "leaves")
+    # written first, since ranges read their input twice; rows with one id and leaf have the same text, so the tampered leaf does not tell them apart
+    leaves = materialise(with_index(materialise(rows, "hashed"), "key", ["doc_id", "leaf"]), "leaves")
     nodes = tree_nodes(leaves)
     singles = leaves.where("n = 1").select("key", "n", F.lit(0).alias("level"), "idx", F.col("leaf").alias("hash"))
     nodes = materialise(nodes.unionByName(singles), "nodes")
@@ -274,9 +289,10 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, tampered: Colu
     inner = node_paths(nodes, most, CHUNK_LEVEL).select("key", F.when(F.col("level") == CHUNK_LEVEL, F.col("idx")).otherwise(0).alias("chunk"), "path")
     inner = materialise(inner, "chunk-paths")
     inner = join_hot(inner, over.select("key", "over", "rows"), "key", "rows", leaves.count() // chunk).select("key", "chunk", F.concat("path", "over").alias("path"))
-    # an id is put in order by its group; columns of both sides are told apart by name
-    below = leaves.withColumn("chunk", F.floor(F.col("idx") / chunk)).groupBy("key", "chunk")
-    made = below.cogroup(inner.groupBy("key", "chunk")).applyInPandas(_proofs, "doc_id long, key binary, leaf string, proof_sha256 string, folded_root string")
+    below = leaves.select("key", F.floor(F.col("idx") / chunk).alias("chunk"), "idx", "n", "doc_id", "leaf", "tampered", F.lit(None).cast(_SIBLINGS).alias("path"))
+    nothing = (F.lit(None).cast(kind).alias(c) for c, kind in (("n", "long"), ("doc_id", "long"), ("leaf", "string"), ("tampered", "string")))
+    both = below.unionByName(inner.select("key", F.col("chunk").cast("long").alias("chunk"), F.lit(-1).cast("long").alias("idx"), *nothing, "path"))
+    made = both.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "idx").mapInArrow(_prove, _PROOFS)
     named = join_hot(made, over.select("key", "subroot", "rows"), "key", "rows", leaves.count())
     name = F.when(F.col("key") != F.lit(b""), F.decode(F.substring("key", 2, 1 << 30), "UTF-8"))
     return named.select("doc_id", name.alias("source"), "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == F.lit(root)).alias("verified"))
