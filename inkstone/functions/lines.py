@@ -66,9 +66,26 @@ def collapse_phrase(tokens: Column) -> Column:
 
 
 def collapse_repeats(t: Column) -> Column:
-    """Tokens between blanks and tabs, with repeated phrases, then repeated units, collapsed and joined by one blank."""
-    tokens = F.filter(F.split(t, "[ \t]+"), lambda x: x != "")
-    return tx.bound(tokens, lambda w: F.when(F.size(w) == 0, t).otherwise(F.array_join(F.transform(collapse_phrase(w), collapse_token), " ")))
+    """Tokens between blanks and tabs, with repeated phrases, then repeated units, collapsed and joined by one blank.
+
+    A phrase that comes three times leaves at least two tokens that are no news; most lines have fewer, or no blank at all.
+    """
+    spaces = F.contains(t, F.lit(" ")) | F.contains(t, F.lit("\t"))
+
+    def tokens(parts: Column) -> Column:
+        return F.filter(parts, lambda x: x != "")
+
+    def searched(w: Column) -> Column:
+        return F.when(F.size(w) == 0, t).otherwise(F.array_join(F.transform(collapse_phrase(w), collapse_token), " "))
+
+    def plain(parts: Column) -> Column:
+        single = ~(F.contains(t, F.lit("  ")) | F.startswith(t, F.lit(" ")) | F.endswith(t, F.lit(" ")) | F.contains(t, F.lit("\t")))
+        return F.when(single & ~t.rlike("[^ ]{12}"), t).otherwise(tx.bound(tokens(parts), lambda w: F.when(F.size(w) == 0, t).otherwise(F.array_join(F.transform(w, collapse_token), " "))))
+
+    # a split by one character needs no pattern; empty parts count as repeats, which does no harm
+    split = F.split(F.translate(t, "\t", " "), " ", -1)
+    many = tx.bound(split, lambda parts: F.when(F.size(parts) - F.size(F.array_distinct(parts)) < 2, plain(parts)).otherwise(tx.bound(tokens(parts), searched)))
+    return F.when(~spaces, collapse_token(t)).otherwise(many)
 
 
 def is_metadata(t: Column) -> Column:

@@ -29,7 +29,9 @@ _WIDTH = 20
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+    """A table. One of fewer files than cores is dealt out to all of them first; larger ones are read where they are, without a shuffle."""
+    df, cores = spark.read.parquet(f"{sf}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def cjk_lines(spark: SparkSession, sf: str, brackets: bool = False) -> DataFrame:
@@ -141,7 +143,6 @@ _register(
     lambda spark, sf: pg.page_progress(_pages(spark, sf)),
     f"WITH {_PAGES_SQL}, q AS (SELECT doc_id, page_no, CAST(floor(CAST(i AS DOUBLE) / n * 100) AS INTEGER) AS percent FROM p) SELECT *, repeat('🟩', percent * 10 // 100) || repeat('⬜', 10 - percent * 10 // 100) AS bar FROM q",
 )
-_register("document_text", lambda spark, sf: pg.extract_documents(_pages(spark, sf).withColumn("text", F.translate(F.lower("text"), _FROM, _TO)), header=True))
 
 # --- trims and single characters -------------------------------------------------------------------------------------
 
@@ -368,7 +369,6 @@ _register(
     lambda spark, sf: cjk_lines(spark, sf).select(*_ID, ln.collapse_token(F.repeat(F.left("line", F.pmod(F.col("doc_id"), F.lit(12)).cast("int")), F.pmod(F.col("part_no"), F.lit(5)).cast("int"))).alias("token")),
     _sql_lines() + f", k AS (SELECT {_SID}, repeat(left(line, CAST(doc_id % 12 AS INTEGER)), part_no % 5) AS t FROM l) SELECT {_SID}, {_unit} AS token FROM k",
 )
-_register("collapse_repeats", lambda spark, sf: cjk_lines(spark, sf).select(*_ID, ln.collapse_repeats(F.concat_ws(" ", "line", "line", "line", F.lit("x"))).alias("line")))
 def _depths(spark: SparkSession, sf: str) -> DataFrame:
     t = tx.split_lines(F.translate(F.lower("text"), _FROM, _TO))
     return _read(spark, sf, "documents").select("doc_id", F.posexplode(tx.dialog_depths(t)).alias("line_no", "d")).select("doc_id", "line_no", *(F.col("d")[k].alias(f"d{k}") for k in range(len(cs.DIALOG_PAIRS))))
@@ -399,8 +399,108 @@ def _hard_broken(spark: SparkSession, sf: str) -> DataFrame:
     return _read(spark, sf, "documents").select("doc_id", broken.alias("text"))
 
 
-_register("reflow_segments", lambda spark, sf: rf.reflow_segments(_hard_broken(spark, sf), ["doc_id"], "text"))
-_register("reflow_text_compact", lambda spark, sf: _hard_broken(spark, sf).select("doc_id", rf.reflow(F.col("text"), True, True).alias("text")))
+def _collapsed_sql(tokens: str) -> str:
+    """A line made of the tokens of a list column, its first phrase that comes three times and then repeated units collapsed. Slices are compared, not counted."""
+    first = "least(" + ", ".join(f"16 * list_filter(range(1, len({tokens}) - {3 * n} + 2), lambda i: {tokens}[i:i + {2 * n - 1}] = {tokens}[i + {n}:i + {3 * n - 1}])[1] + {n}" for n in range(1, 9)) + ")"
+    return f"""SELECT *, list_filter(range(place, len({tokens}) + 1), lambda j: ({tokens}[j] IS DISTINCT FROM {tokens}[j + n]))[1] - place AS run FROM (SELECT *, code // 16 AS place, code % 16 AS n FROM (SELECT *, {first} AS code FROM w))"""
+
+
+_SQL_LINES_COLLAPSED = f""", w AS (SELECT *, list_filter(regexp_split_to_array(line, '[ \t]+'), lambda x: x <> '') AS ws FROM src),
+ph AS ({_collapsed_sql("ws")}),
+c AS (SELECT * EXCLUDE (line, ws, code, place, n, run), CASE WHEN len(ws) = 0 THEN line ELSE array_to_string(list_transform(CASE WHEN place IS NULL THEN ws ELSE ws[1:place + n - 1] || ws[place + n * (run // n + 1):] END, lambda t: {_unit}), ' ') END AS line FROM ph)"""
+
+
+_register(
+    "collapse_repeats",
+    lambda spark, sf: cjk_lines(spark, sf).select(*_ID, ln.collapse_repeats(F.concat_ws(" ", "line", "line", "line", F.lit("x"))).alias("line")),
+    _sql_lines() + f", src AS (SELECT {_SID}, concat_ws(' ', line, line, line, 'x') AS line FROM l){_SQL_LINES_COLLAPSED} SELECT {_SID}, line FROM c",
+)
+
+
+def _cell(x: str, pairs: tuple) -> str:
+    """What a line does to a counter of open marks that stops at zero: its sum and what it makes of zero, by deleting pairs that match."""
+    rest = _deleted(x, [pairs])
+    up = f"length(regexp_replace({rest}, '{pairs[1]}', '', 'g'))"
+    return f"[2 * {up} - length({rest}), {up}]"
+
+
+def _reflow_sql(lines: str, header: bool, table: str = "documents") -> str:
+    """CTEs up to seg(doc_id, seg_no, kind, text): the rules as a recursion fin the lines, with the paragraph's text as state. lines: CTE src(doc_id, line_no, line)."""
+    ws, strip = cs.WS_CHARS, cs.STRIP_CHARS
+    kinds = range(len(cs.DIALOG_PAIRS))
+    s = _strip("line")
+    meta = f"(length({s}) <= 30 AND {_strip(f"regexp_extract({s}, '{ln.METADATA}', 1)")} IN ({_keys(cs.METADATA_KEYS)}) AND regexp_extract({s}, '{ln.METADATA}', 2) <> '' AND left(regexp_extract({s}, '{ln.METADATA}', 2), 1) NOT IN ({_keys(cs.DIALOG_OPENERS)}))"
+    last, first = _last("line"), f"left(ltrim(line, '{ws}'), 1)"
+    divider = _m("regexp_replace(lft, '[ \\t\\n\\r\\x{3000}]', '', 'g')", rf"^[{cs.DIVIDER}]{{3,}}\z")
+    brackets = _deleted("line", cs.BRACKETS)
+    facts = f"""SELECT doc_id, line_no, CASE WHEN {divider} THEN lft ELSE line END AS line,
+CASE WHEN line = '' THEN 'blank' WHEN {divider} THEN 'divider' WHEN length(line) >= 7 AND starts_with(line, '=== ') AND ends_with(line, '===') THEN 'marker' WHEN {_title_sql("lft")} THEN 'title' WHEN {meta} THEN 'metadata' ELSE '' END AS kind,
+{_heading_sql("line")} AS heading, ({_in(last, cs.COLONS + cs.POSTFIX_CLOSERS)} OR ({_m("line", rf"^[{cs.CJK}{cs.WS}]+\z")} AND {_m("line", f"[{cs.CJK}]")})) AS goes_on,
+{_in(first, cs.DIALOG_OPENERS)} AS dialog, {_m("lft", ln.LIST_START)} AS item, {_in(last, cs.DIALOG_CLOSERS)} AS closes,
+CASE WHEN {_m("lft", ln.LIST_START)} THEN {_brackets_open(f"regexp_replace(lft, '{ln.LIST_CLOSER_PREFIX}', '')")} ELSE {_brackets_open("line")} END AS broken, {_quotes_open("line")} AS quoted,
+({_in(last, cs.STRONG_ENDS + cs.COLONS)} OR ({_mostly("line")} AND {_m("line", _ELLIPSIS)})) AS complete, {last} AS last, {_last(_head("line"))} AS prev, {brackets} AS brk, regexp_replace(line, '[^{cs.escaped("".join(a + b for a, b in cs.BRACKETS))}]', '', 'g') AS brks,
+{_count("line", f"[{cs.CJK}]")} AS n_cjk, {_count("line", "[A-Za-z]")} AS n_latin, {", ".join(f"{_cell('line', q)} AS x{k}" for k, q in enumerate(cs.DIALOG_PAIRS))}
+FROM (SELECT *, ltrim(line, '{strip}') AS lft FROM c)"""
+    end, speaks, is_open = _last("buf"), "(" + " + ".join(f"d{k}" for k in kinds) + " > 0)", "(due <> '')"
+    tail, mostly = "right(buf, 40)", "(cjk > 0 AND cjk >= latin)"
+    closers = cs.DIALOG_CLOSERS + cs.POSTFIX_CLOSERS
+    prev = _last(_head(tail))
+    sentence = f"({_in(end, cs.STRONG_ENDS)} OR ({_in(end, closers)} AND ({_in(prev, cs.STRONG_ENDS)} OR ({prev} = '.' AND {_m(_last(_head(_head(tail))), f'[{cs.CJK}]')} AND {mostly}))) OR ({mostly} AND ({end} = '：' OR {_m(tail, _ELLIPSIS)})))"
+    begin = f"left(ltrim(buf, '{ws}'), 1)"
+    wrapped = f"(({_closer(begin)}) <> '' AND ({_closer(begin)}) = {end} AND pair = '' AND {mostly})"
+    soft = "false" if header else f"(buf <> '' AND ({speaks} OR {is_open} OR ({end} <> '' AND NOT {_in(end, cs.STRONG_ENDS)})))"
+    act = f"""CASE WHEN kind = 'blank' THEN CASE WHEN {soft} THEN 'skip' ELSE 'break' END WHEN kind <> '' THEN 'alone'
+WHEN heading AND (buf = '' OR (NOT {is_open} AND ({end} = '' OR (NOT {_in(end, cs.COMMAS)} AND (NOT goes_on OR {_in(end, cs.CLAUSE_OR_END)}))))) THEN 'alone'
+WHEN dialog AND closes AND NOT broken AND NOT quoted THEN 'quiet' WHEN item AND complete AND NOT broken AND NOT quoted THEN 'alone'
+WHEN dialog OR item THEN CASE WHEN buf <> '' AND ((item AND {_m(f"ltrim(buf, '{strip}')", ln.LIST_START)}) OR ({end} <> '' AND NOT {_in(end, cs.COMMAS)} AND NOT {_m(end, f"[{cs.CJK}]")} AND NOT {speaks} AND NOT {is_open})) THEN 'speak anew' ELSE 'speak' END
+WHEN complete AND NOT closes AND NOT quoted AND buf <> '' AND NOT {speaks} AND (NOT {is_open} OR length(buf) > 120) THEN 'join end' WHEN complete AND NOT closes AND NOT quoted AND buf = '' AND NOT broken THEN 'quiet'
+WHEN closes THEN 'close' WHEN buf <> '' AND NOT {speaks} AND ((NOT {is_open} AND {sentence}) OR {wrapped}) THEN 'join anew' ELSE 'join' END"""
+    old_due, old_pair = "CASE WHEN fresh THEN '' ELSE due END", "CASE WHEN fresh THEN '' ELSE pair END"
+    own = f"CASE WHEN fresh OR {begin} = '' THEN left(ltrim(line, '{ws}'), 1) ELSE {begin} END"
+    of_pair = f"array_to_string(list_filter(string_split(brks, ''), lambda z: z = own OR z = ({_closer('own')})), '')"
+    pair = "CASE own " + " ".join(f"WHEN '{a}' THEN {_deleted(f'({old_pair}) || brk_own', [(a, b)], 6)}" for a, b in cs.BRACKETS) + " ELSE '' END"
+    depths = ", ".join(f"CASE WHEN NOT adds THEN d{k} WHEN act = 'join end' THEN b{k} ELSE greatest(b{k} + x{k}[1], x{k}[2]) END AS d{k}" for k in kinds)
+    befores = ", ".join(f"CASE WHEN forget THEN 0 ELSE d{k} END AS b{k}" for k in kinds)
+    ends = f"(act = 'join end' OR (act = 'close' AND {' + '.join(f'd{k}' for k in kinds)} = 0 AND {_in('bef', cs.CLAUSE_OR_END)} AND (NOT was_open OR broken OR length(buf) > 120)))"
+    return f"""{lines}{_SQL_LINES_COLLAPSED},
+f AS MATERIALIZED ({facts}),
+st AS (SELECT doc_id, -1 AS line_no, 0 AS code, '' AS buf, '' AS due, 0 AS cjk, 0 AS latin, '' AS pair, {", ".join(f"0 AS d{k}" for k in kinds)} FROM {table}
+UNION ALL
+SELECT doc_id, line_no, code, CASE WHEN fin THEN '' ELSE buf END, CASE WHEN fin THEN '' ELSE due END, CASE WHEN fin THEN 0 ELSE cjk END, CASE WHEN fin THEN 0 ELSE latin END, CASE WHEN fin THEN '' ELSE pair END, {", ".join(f"CASE WHEN fin AND silent THEN 0 ELSE d{k} END" for k in kinds)} FROM (
+SELECT doc_id, line_no, code, buf, due, cjk, latin, pair, {", ".join(f"d{k}" for k in kinds)}, CASE WHEN act IN ('break', 'alone', 'quiet') THEN true WHEN act = 'skip' THEN false ELSE {ends} END AS fin, act NOT IN ('break', 'alone') OR had AS silent FROM (
+SELECT doc_id, line_no, act, broken, had, bef, was_open, code, CASE WHEN adds THEN CASE WHEN fresh THEN line ELSE buf || line END ELSE buf END AS buf, CASE WHEN adds THEN {_deleted(f"({old_due}) || brk", cs.BRACKETS, 6)} ELSE due END AS due,
+CASE WHEN adds THEN n_cjk + CASE WHEN fresh THEN 0 ELSE cjk END ELSE cjk END AS cjk, CASE WHEN adds THEN n_latin + CASE WHEN fresh THEN 0 ELSE latin END ELSE latin END AS latin,
+CASE WHEN adds THEN {pair} ELSE pair END AS pair, {depths} FROM (
+SELECT *, {of_pair} AS brk_own, {befores} FROM (
+SELECT *, {own} AS own, NOT fresh AND {is_open} AS was_open, CASE WHEN prev <> '' THEN prev WHEN fresh THEN '' ELSE {end} END AS bef, (act IN ('speak', 'speak anew') AND dialog) OR (act = 'join' AND NOT had) OR act = 'join anew' AS forget,
+CASE WHEN act IN ('skip', 'break') THEN 0 WHEN act = 'alone' AND heading THEN 3 WHEN act IN ('alone', 'quiet') THEN 4 WHEN fresh THEN 1 ELSE 2 END AS code FROM (
+SELECT *, act NOT IN ('skip', 'break', 'alone', 'quiet') AS adds, buf = '' OR act IN ('speak anew', 'join anew') AS fresh, buf <> '' AS had FROM (
+SELECT st.* EXCLUDE (line_no, code), f.* EXCLUDE (doc_id), {act} AS act FROM st JOIN f ON f.doc_id = st.doc_id AND f.line_no = st.line_no + 1))))))),
+coded AS (SELECT st.doc_id, st.line_no, st.code, f.line, f.kind, count(CASE WHEN st.code IN (1, 3, 4) THEN 1 END) OVER (PARTITION BY st.doc_id ORDER BY st.line_no) AS k FROM st JOIN f ON f.doc_id = st.doc_id AND f.line_no = st.line_no WHERE st.code > 0),
+seg AS (SELECT doc_id, CAST(k - 1 AS INTEGER) AS seg_no, CASE WHEN min(code) = 1 THEN 'paragraph' WHEN any_value(kind) <> '' THEN any_value(kind) WHEN min(code) = 3 THEN 'heading' ELSE 'line' END AS kind, string_agg(line, '' ORDER BY line_no) AS text FROM coded GROUP BY doc_id, k)
+"""
+
+
+def _src_sql(text: str, table: str, before: str = "") -> str:
+    """WITH and the lines of a text column as src(doc_id, line_no, line), trimmed at the right."""
+    return f"""WITH RECURSIVE {before}src AS (SELECT doc_id, unnest(range(len(p))) AS line_no, rtrim(unnest(p), '{cs.STRIP_CHARS}') AS line FROM (SELECT doc_id, string_split(regexp_replace({text}, '\\r\\n?', chr(10), 'g'), chr(10)) AS p FROM {table}))"""
+
+
+_SBROKEN = f"regexp_replace(translate(lower(text), '{_FROM}', '{_TO}'), '(.{{30}})', '\\1' || chr(10), 'g')"
+_register("reflow_segments", lambda spark, sf: rf.reflow_segments(_hard_broken(spark, sf), ["doc_id"], "text"), _reflow_sql(_src_sql(_SBROKEN, "documents"), False) + "SELECT * FROM seg")
+_register(
+    "reflow_text_compact",
+    lambda spark, sf: _hard_broken(spark, sf).select("doc_id", rf.reflow(F.col("text"), True, True).alias("text")),
+    _reflow_sql(_src_sql(_SBROKEN, "documents"), True) + "SELECT doc_id, string_agg(text, chr(10) ORDER BY seg_no) AS text FROM seg GROUP BY doc_id",
+)
+
+_SPAGES = _PAGES_SQL.replace("coalesce(text, '')", f"translate(lower(coalesce(text, '')), '{_FROM}', '{_TO}')")
+_SASSEMBLED = f"""{_SPAGES}, asm AS (SELECT doc_id, CAST(max(n) AS INTEGER) AS n_pages, string_agg('=== [Page ' || i || '/' || n || '] ===' || chr(10) || chr(10) || t || chr(10) || chr(10), '' ORDER BY i) AS text FROM p GROUP BY doc_id), """
+_register(
+    "document_text",
+    lambda spark, sf: pg.extract_documents(_pages(spark, sf).withColumn("text", F.translate(F.lower("text"), _FROM, _TO)), header=True),
+    _reflow_sql(_src_sql("text", "asm", _SASSEMBLED), True, "asm") + "SELECT doc_id, n_pages, string_agg(seg.text, chr(10) || chr(10) ORDER BY seg_no) AS text, 'done' AS status FROM seg JOIN asm USING (doc_id) GROUP BY doc_id, n_pages",
+)
 
 # --- conversion ------------------------------------------------------------------------------------------------------
 
