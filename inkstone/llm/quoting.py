@@ -29,6 +29,7 @@ from ._store import join_hot, materialise, two_level_rank
 
 #: Turns that one task ranks together.
 TURN_RANGE = 1024
+_MARK = "\x01"
 
 
 def _normal(text: Column) -> Column:
@@ -65,7 +66,10 @@ def _passages(lines: Column) -> Column:
 
 def _units(passage: Column) -> Column:
     """A passage, its paragraphs and its lines as (kind, text): 2, 1 and 0."""
-    parts = [F.array(passage), F.split(passage, r"\r?\n(?:[\x20\x09\r]*\n)+", -1), F.split(passage, r"\r?\n", -1)]
+    # each blank line becomes a mark, and paragraphs are what lies between marks: no pattern that repeats a group
+    lines = F.transform(F.split(F.translate(passage, _MARK, " "), "\n", -1), lambda x: F.when(F.trim(x, F.lit(" \t\r")) == "", F.lit(_MARK)).otherwise(x))
+    paragraphs = F.filter(F.split(F.array_join(lines, "\n"), _MARK, -1), lambda x: F.trim(x, F.lit("\n")) != "")
+    parts = [F.array(passage), paragraphs, F.split(passage, r"\r?\n", -1)]
 
     def of(kind: int, texts: Column) -> Column:
         return F.transform(texts, lambda t: F.struct(F.lit(kind).alias("kind"), _normal(t).alias("text")))
