@@ -11,7 +11,7 @@ over the documents, so that memory does not grow with the benchmark; documents a
 merged by document.
 
 Defined cases: null text has no words and no hits; items with no words or a null id match nothing; equal windows of several
-items count for each of them; repeated rows give repeated results; a very long text is searched whole;
+items count for each of them; repeated documents give repeated results, repeated items count once; a very long text is searched whole;
 of equally rare words of a window, the first is its prefix; empty tables on either side give no hits; other columns are not read.
 """
 
@@ -114,8 +114,8 @@ class WindowIndex:
 
 
 def _item_blocks(items: DataFrame, item_id: str, item_text: str) -> list[DataFrame]:
-    """The items in parts of at most BLOCK_TEXT bytes of text each, as measured; a larger item is a part of its own."""
-    items = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
+    """The distinct items in parts of at most BLOCK_TEXT bytes of text each, as measured; a larger item is a part of its own."""
+    items = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     total, largest = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
     n = max(1, -(-(total or 0) // BLOCK_TEXT))
     while n > 1:
