@@ -17,6 +17,7 @@ are not read.
 
 from __future__ import annotations
 
+import bisect
 import pkgutil
 from collections.abc import Iterator
 
@@ -118,9 +119,12 @@ def windows(known: Templates, slots: np.ndarray, pairs: np.ndarray) -> list[tupl
             size = max(1, round(part * (known.words[t] - 1)))
             # the best window begins at one of the template's bigrams
             count = np.searchsorted(at, at + size) - np.arange(len(at))
-            while count.max() >= least:
-                k = int(count.argmax())
+            # fullest first, then in order; those that are passed over are set to zero
+            order = np.flatnonzero(count >= least)
+            for k in order[np.argsort(-count[order], kind="stable")].tolist():
                 n = int(count[k])
+                if not n:
+                    continue
                 a, b = int(at[k]), int(at[k + n - 1]) + 1
                 common = len(np.unique(kind[k : k + n]))
                 total = len(np.unique(pairs[a:b]))
@@ -130,9 +134,12 @@ def windows(known: Templates, slots: np.ndarray, pairs: np.ndarray) -> list[tupl
                 # windows that begin nearby hold about the same; after a match, all that overlap it are passed over
                 near = size if good else max(1, size // 16)
                 count[np.searchsorted(at, a - near, "right") : np.searchsorted(at, a + near)] = 0
-    taken = []
+    taken, places = [], []
     for w in sorted(found, key=lambda w: (w[0], w[2] - w[3], w[1])):
-        if all(w[3] <= x[2] or w[2] >= x[3] for x in taken):
+        # those taken do not overlap, so only the neighbours can
+        k = bisect.bisect(places, (w[2],))
+        if (k == len(places) or places[k][0] >= w[3]) and (k == 0 or places[k - 1][1] <= w[2]):
+            places.insert(k, (w[2], w[3]))
             taken.append(w)
     return taken
 
@@ -187,10 +194,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                             if i - opened > 1 and not (opened == la and i == lb):
                                 weigh("paragraph", row, l_starts[opened] - base, l_ends[i - 1] - base, w_first[opened], w_last[i - 1])
                             opened = None
-                    units = list(hits[row])
+                    units = [np.array([u[c] for u in hits[row]]) for c in ("start", "end", "license", "score")]
                     for score, name, wa, wb in windows(known, places[first[row] : first[row + 1]], spread[first[row] : first[row + 1]]):
                         a, b = int(starts[first[row] + wa] - base), int(ends[first[row] + wb - 1] - base)
-                        if all(b <= u["start"] or a >= u["end"] or (u["license"] != name and u["score"] < -score) for u in units):
+                        if not len(units[0]) or ((b <= units[0]) | (a >= units[1]) | ((units[2] != name) & (units[3] < -score))).all():
                             hits[row].append({"unit": "window", "start": a, "end": b, "license": name, "score": float(-score)})
                 best = [min(((-h["score"], h["license"]) for h in x), default=None) for x in hits]
                 yield pa.RecordBatch.from_arrays(
