@@ -1,27 +1,23 @@
 """Script conversion: configurations, options, labels, punctuation, and staged dictionary conversion.
 
 Dictionaries are input data: rows (config, stage, key, value). Each stage replaces, from left to right, the longest key
-that matches; keys of one character to one character alone are applied by `translate`, inside Catalyst. No dictionaries are shipped;
+that matches, within Catalyst: keys are found by a pattern made from their tree, values looked up by hash. No dictionaries are shipped;
 `icu_char_tables` builds simplified/traditional character tables from the ICU library that comes with Spark, as a fallback.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from . import charsets as cs
 from . import text as tx
 
 _IDS = {name: i + 1 for i, name in enumerate(cs.CONFIGS)}
-#: Dictionaries that go to the executors are checked against this many entries.
-MAX_ENTRIES = 5_000_000
 
 
 def config_id(name: Column) -> Column:
@@ -62,11 +58,11 @@ class Options:
 
 
 def resolve_config(direction: Column, region: Column, idioms: Column) -> Column:
-    """The configuration name for columns of options."""
-    p = F.when(idioms, F.lit("p")).otherwise(F.lit(""))
-    to = F.when(region == "std", F.lit("s2t")).when(region == "hk", F.lit("s2hk")).otherwise(F.concat(F.lit("s2tw"), p))
-    back = F.when(region == "std", F.lit("t2s")).when(region == "hk", F.lit("hk2s")).otherwise(F.concat(F.lit("tw2s"), p))
-    return F.when(direction == "s2t", to).otherwise(back)
+    """The configuration name for columns of options, as Options.resolve has it: asking for idioms selects Taiwan, NULL is as the region has them."""
+    where = F.when(F.coalesce(idioms, F.lit(False)), F.lit("tw")).otherwise(region)
+    p = F.when((where == "tw") & F.coalesce(idioms, F.lit(True)), F.lit("p")).otherwise(F.lit(""))
+    named = F.when(direction == "s2t", F.concat(F.lit("s2"), where, p)).otherwise(F.concat(where, F.lit("2s"), p))
+    return F.when(where == "std", direction).otherwise(named)
 
 
 def convert_punctuation(t: Column, config: str) -> Column:
@@ -107,56 +103,120 @@ def char_count_label(t: Column) -> Column:
 # --- dictionaries ----------------------------------------------------------------------------------------------------
 
 
+def _plain(c: str) -> str:
+    """A character as a pattern. Spark compares a pattern as a whole for every row, so it is kept short."""
+    return c if c.isalnum() else rf"\x{{{ord(c):X}}}"
+
+
+def _among(chars: list[str]) -> str:
+    """The inside of a class for a stretch of sorted characters."""
+    return f"{_plain(chars[0])}-{_plain(chars[-1])}"
+
+
+def _fork(branches: dict[str, str]) -> str:
+    """A pattern that goes on by the first character: halves of the sorted characters are told apart by looking ahead, so that thousands take a dozen steps."""
+    chars = sorted(branches)
+    if len(chars) <= 3:
+        return "|".join(_plain(c) + branches[c] for c in chars)
+    half = len(chars) // 2
+    low, high = chars[:half], chars[half:]
+    return rf"(?=[{_among(low)}])(?:{_fork({c: branches[c] for c in low})})|(?=[{_among(high)}])(?:{_fork({c: branches[c] for c in high})})"
+
+
+def longest_match(keys: Iterable[str]) -> str:
+    """A pattern that matches the longest of the keys at a place: their tree, in which branches exclude each other and longer keys come first."""
+    tree: dict = {}
+    for key in keys:
+        node = tree
+        for c in key:
+            node = node.setdefault(c, {})
+        node[""] = True
+
+    def pattern(node: dict) -> str:
+        branches = {c: pattern(child) for c, child in node.items() if c}
+        if not branches:
+            return ""
+        return f"(?:{_fork(branches)})" + ("?" if "" in node else "")
+
+    return pattern({c: n for c, n in tree.items() if c})
+
+
+@dataclass
 class Stages:
-    """Compiled stages: for each a table of keys and the pattern that finds the longest one at a place."""
-
-    def __init__(self, entries: list[tuple[int, str, str]]):
-        self.stages = []
-        for stage in sorted({s for s, _, _ in entries}):
-            table = {k: v for s, k, v in entries if s == stage and k}
-            singles = {ord(k): v for k, v in table.items() if len(k) == 1}
-            if len(singles) == len(table):
-                self.stages.append((singles, None, None))
-                continue
-            by_first: dict[str, list[str]] = {}
-            for k in table:
-                by_first.setdefault(k[0], []).append(k)
-            parts = (re.escape(c) + "(?:" + "|".join(re.escape(k[1:]) for k in sorted(ks, key=len, reverse=True)) + ")" for c, ks in by_first.items())
-            self.stages.append((None, table, re.compile("|".join(parts), re.S)))
-
-    def apply(self, text: str) -> str:
-        for singles, table, pattern in self.stages:
-            text = text.translate(singles) if pattern is None else pattern.sub(lambda m, t=table: t[m[0]], text)
-        return text
+    """The stages of a configuration: for each its keys and their values."""
+
+    entries: list[dict[str, str]]
 
 
 def load_dictionary(dictionary: DataFrame, config: str) -> Stages:
-    """The stages of one configuration; refused beyond MAX_ENTRIES, since every worker holds them."""
-    rows = dictionary.where(F.col("config") == config).select("stage", "key", "value").limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError(f"dictionary of {config} has over {MAX_ENTRIES} entries")
-    return Stages([(r.stage, r.key, r.value) for r in rows])
+    """The stages of one configuration. Rows: config, stage, key, value; of a key's values in a stage the greatest one counts, empty keys do nothing.
+
+    A dictionary becomes part of the plan, as a pattern and a table, so the driver reads it; a hundred thousand entries are a few MB.
+    """
+    rows = dictionary.where((F.col("config") == config) & (F.col("key") != "")).groupBy("stage", "key").agg(F.max("value").alias("value"))
+    stages: dict[int, dict[str, str]] = {}
+    for r in rows.toLocalIterator():
+        stages.setdefault(r.stage, {})[r.key] = r.value or ""
+    return Stages([stages[s] for s in sorted(stages)])
+
+
+#: Around keys that are found; texts that hold one of them take the slower way.
+_BEGIN, _END = "\uf8fe", "\uf8ff"
+
+
+def _hash(key: str) -> int:
+    return zlib.crc32(key.encode())
+
+
+def _lookup(table: dict[str, str]) -> Callable[[Column], Column]:
+    """A Column function from keys to values: a constant array that has at the place of a key's checksum the few entries with it, so that a look-up takes one step."""
+    many = 1 << max(4, (len(table) - 1).bit_length())
+    used = set("".join(table)) | set("".join(table.values()))
+    # characters for private use, of which no text of the table has any, part buckets, entries, and keys from values
+    marks = [c for c in map(chr, range(0xE000, 0xF8FF)) if c not in used][:3]
+    buckets: list[list[str]] = [[] for _ in range(many)]
+    for k, v in table.items():
+        buckets[_hash(k) % many].append(k + marks[2] + v)
+    # a split of a literal is folded into an array literal
+    constant = F.split(F.lit(marks[0].join(marks[1].join(b) for b in buckets)), marks[0], -1)
+    return lambda key: F.coalesce(F.str_to_map(F.get(constant, F.pmod(F.crc32(key), F.lit(many)).cast("int")), F.lit(marks[1]), F.lit(marks[2]))[key], F.lit(""))
+
+
+def converter(stages: Stages, config: str, punctuation: bool = False) -> Callable[[Column], Column]:
+    """A Column function that converts text by the stages, and the quotation marks if asked for. Empty text stays empty, NULL stays NULL.
+
+    A stage finds its keys by one pattern; what lies between them stays. Keys of one character with values of one are a translation.
+    """
+
+    def staged(table: dict[str, str]) -> Callable[[Column], Column]:
+        if all(len(k) == len(v) == 1 for k, v in table.items()):
+            return lambda t: F.translate(t, "".join(table), "".join(table.values()))
+        pattern, value = longest_match(table), _lookup(table)
+
+        def replaced(parts: Column) -> Column:
+            def one(part: Column, i: Column) -> Column:
+                key = F.substring_index(part, _END, 1)
+                return F.when(i == 0, part).otherwise(F.concat(value(key), F.substring(part, F.length(key) + 2, F.length(part))))
+
+            return F.array_join(F.transform(parts, one), "")
+
+        def slowly(t: Column) -> Column:
+            parts = F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("found"), F.split(t, pattern, -1).alias("gaps"))
+            return tx.bound(parts, lambda x: F.concat(F.array_join(F.transform(x["found"], lambda m, i: F.concat(F.get(x["gaps"], i), value(m))), ""), F.get(x["gaps"], F.size(x["found"]))))
 
+        def convert(t: Column) -> Column:
+            # a split by a pattern makes the pattern anew for each row, so marks are put around what is found
+            parts = F.split(F.regexp_replace(t, pattern, f"{_BEGIN}$0{_END}"), _BEGIN, -1)
+            return F.when(F.contains(t, F.lit(_BEGIN)) | F.contains(t, F.lit(_END)), slowly(t)).otherwise(F.when(t.isNotNull(), tx.bound(parts, replaced)))
 
-def converter(spark: SparkSession, stages: Stages, config: str, punctuation: bool = False):
-    """A Column function that converts text by the stages, and the quotation marks if asked for. Empty text stays empty."""
-    shared = spark.sparkContext.broadcast([(s, t, p.pattern if p else None) for s, t, p in stages.stages])
+        return convert
 
-    @pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Stages([])
-        own.stages = [(s, t, re.compile(p, re.S) if p else None) for s, t, p in shared.value]
-        for b in batches:
-            yield b.map(lambda x: own.apply(x) if x else x).astype(object)
+    steps = [staged(table) for table in stages.entries]
 
     def convert(t: Column) -> Column:
-        if stages.stages and all(p is None for _, _, p in stages.stages) and all(len(v) == 1 for s, _, _ in stages.stages for v in s.values()):
-            out = t
-            for s, _, _ in stages.stages:
-                out = F.translate(out, "".join(map(chr, s)), "".join(s.values()))
-        else:
-            out = run(t) if stages.stages else t
-        return convert_punctuation(out, config) if punctuation else out
+        for step in steps:
+            t = step(t)
+        return convert_punctuation(t, config) if punctuation else t
 
     return convert
 

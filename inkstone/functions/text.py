@@ -230,20 +230,24 @@ def is_type_balanced(t: Column, opener: Column) -> Column:
     return F.when(closer == "", F.lit(True)).otherwise(~_depth_fails(kept, opener))
 
 
-def dialog_depths(lines: Column) -> Column:
-    """How many quotes of each kind are open after each line of an array, with counters that stop at zero."""
-    depth = F.array(*(F.lit(0) for _ in cs.DIALOG_PAIRS))
-    kind = "struct<now:array<int>,all:array<array<int>>>"
+def dialog_moves(line: Column) -> Column:
+    """For each kind of dialog marks what a line does to a counter that stops at zero: the sum of its steps, and the lowest running sum (0 at most).
 
-    def counted(now: Column, line: Column) -> Column:
-        return F.array(*(F.aggregate(F.split(F.regexp_replace(line, f"[^{a}{b}]+", ""), ""), now[k], _counter(a, b)) for k, (a, b) in enumerate(cs.DIALOG_PAIRS)))
+    From a depth d it comes to max(d + sum, sum - low); two lines one after the other are of this kind again.
+    """
+
+    def kind(a: str, b: str) -> Column:
+        def counted(own: Column) -> Column:
+            # neighbours that match do nothing; if none are left, all closers come before all openers
+            up, down = (F.length(own) - F.length(F.translate(own, c, "")) for c in (a, b))
+            least = F.aggregate(F.split(own, ""), F.lit(0), _counter(a, b))
+            low = F.when(F.contains(own, F.lit(a + b)), up - down - least).otherwise(-down)
+            return F.struct((up - down).alias("sum"), low.alias("low"))
 
-    def fold(acc: Column, line: Column) -> Column:
-        now = counted(acc["now"], line)
-        return F.struct(now.alias("now"), F.concat(acc["all"], F.array(now)).alias("all")).cast(kind)
+        own = bound(F.replace(F.regexp_replace(line, f"[^{a}{b}]+", ""), F.lit(a + b), F.lit("")), counted)
+        return F.when(F.contains(line, F.lit(a)) | F.contains(line, F.lit(b)), own).otherwise(F.struct(F.lit(0).alias("sum"), F.lit(0).alias("low")))
 
-    start = F.struct(depth.alias("now"), F.array().cast("array<array<int>>").alias("all")).cast(kind)
-    return F.aggregate(lines, start, fold)["all"]
+    return F.array(*(kind(a, b) for a, b in cs.DIALOG_PAIRS))
 
 
 def _counter(opener: str, closer: str):

@@ -86,24 +86,6 @@ def _pair_depth(depth: Column, only: Column, opener: Column) -> Column:
     return F.when((only == "") | (closer == opener), depth).otherwise(F.aggregate(F.split(only, ""), depth, step))
 
 
-def _reflected(marks: Column) -> Column:
-    """For each kind of dialog marks, what a line does to the depth d before it: max(d + sum, least)."""
-
-    def kind(a: str, b: str) -> Column:
-        step = lambda d, c: F.when(c == a, d + 1).when((c == b) & (d > 0), d - 1).otherwise(d)
-
-        def counted(own: Column) -> Column:
-            # neighbours that match do nothing; if none are left, all closers come before all openers
-            up, down = (F.length(own) - F.length(F.translate(own, c, "")) for c in (a, b))
-            least = F.when(F.contains(own, F.lit(a + b)), F.aggregate(F.split(own, ""), F.lit(0), step)).otherwise(up)
-            return F.struct((up - down).alias("sum"), least.alias("least"))
-
-        own = bound(F.replace(F.regexp_replace(marks, f"[^{a}{b}]+", ""), F.lit(a + b), F.lit("")), counted)
-        return F.when(F.contains(marks, F.lit(a)) | F.contains(marks, F.lit(b)), own).otherwise(F.struct(F.lit(0).alias("sum"), F.lit(0).alias("least")))
-
-    return F.array(*(kind(a, b) for a, b in cs.DIALOG_PAIRS))
-
-
 def _heading(s: Column, last: Column, odd: Column, e: Column) -> Column:
     """is_heading_like of a line, with what is known: s the line stripped, its last character, whether brackets or quotes are open, and its counts."""
     n, first, head = F.length(s), F.left(s, F.lit(1)), tx.before_last(s)
@@ -142,7 +124,7 @@ def line_facts(raw: Column) -> Column:
         brackets = F.translate(p["marks"], _DIALOG, "")
         return F.struct(
             F.right(p["r"], F.lit(1)).alias("last"), tx.last_char(before).alias("prev"), cjk.cast("int").alias("cjk"), latin.cast("int").alias("latin"),
-            ln.begins_with_list(p["left"]).alias("item"), brackets.alias("brackets"), F.when(p["marks"] != brackets, _reflected(p["marks"])).alias("dialogs"),
+            ln.begins_with_list(p["left"]).alias("item"), brackets.alias("brackets"), F.when(p["marks"] != brackets, tx.dialog_moves(p["marks"])).alias("dialogs"),
         )
 
     def opened(t: Column, p: Column, e: Column) -> Column:
@@ -153,7 +135,7 @@ def line_facts(raw: Column) -> Column:
         inner = F.when(e["brackets"] == "", none).when(e["item"], listed).otherwise(only)
         # quotes are balanced if they come to nothing from any depth; counters of that many wrap around
         kinds = F.slice(e["dialogs"], 1, len(cs.QUOTES))
-        quotes = F.when(e["dialogs"].isNull(), F.lit(False)).when(F.length(p["marks"]) > 255, tx.has_unclosed_quote(p["marks"])).otherwise(F.exists(kinds, lambda x: (x["sum"] != 0) | (x["least"] != 0)))
+        quotes = F.when(e["dialogs"].isNull(), F.lit(False)).when(F.length(p["marks"]) > 255, tx.has_unclosed_quote(p["marks"])).otherwise(F.exists(kinds, lambda x: (x["sum"] != 0) | (x["low"] != 0)))
         return F.struct(only.alias("only"), (_nest(none, inner) != "").alias("bracket"), quotes.alias("quote"), F.when(e["item"], _nest(none, only) != "").alias("plain"))
 
     def facts(t: Column, p: Column, e: Column, o: Column) -> Column:
@@ -268,7 +250,7 @@ def _step(p: Column, line: Column, page_header: bool) -> Column:
         forget = (act.isin(_SPEAK, _SPEAK_ANEW) & line["dialog"]) | ((act == _JOIN) & ~p["full"]) | (act == _JOIN_ANEW)
         silent = F.expr(_SILENT)
         before = F.when(forget, silent).otherwise(p["depths"])
-        tracked = F.zip_with(before, line["dialogs"], lambda d, x: F.greatest(d + x["sum"], x["least"]))
+        tracked = F.zip_with(before, line["dialogs"], lambda d, x: F.greatest(d + x["sum"], x["sum"] - x["low"]))
         depths = F.when(line["dialogs"].isNull() | (act == _JOIN_END), before).otherwise(tracked)
         head, tail = F.concat(p["head"], line["text"]), F.concat(p["tail"], line["tail"])
         first = F.when(new | (p["first"] == ""), line["first"]).otherwise(p["first"])

@@ -78,6 +78,21 @@ def log_lines(rows: DataFrame) -> DataFrame:
     return rows.select("ord", F.col("_status").alias("status"), F.concat((F.col("ord") + 1).cast("string"), F.lit(": "), shown, F.lit(" -> "), said[F.col("_status")]).alias("line"))
 
 
+#: List entries that one task numbers, about.
+_RANGE = 1 << 16
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """pos from 0 and path, in order of zone and k (a whole number): ranks in ranges of k, and where each range begins."""
+    split = rows.withColumn("part", F.floor(F.col("k") / _RANGE))
+    sizes = split.groupBy("zone", "part").agg(F.count(F.lit(1)).alias("c"))
+    # one row with a number for each range, of which there are as many as the list has times _RANGE entries
+    all_ = sizes.agg(F.array_sort(F.collect_list(F.struct("zone", "part", "c"))).alias("x"))
+    begun = all_.select(F.explode(F.transform("x", lambda r, i: F.struct(r["zone"].alias("zone"), r["part"].alias("part"), F.aggregate(F.slice("x", F.lit(1), i), F.lit(0).cast("long"), lambda s, y: s + y["c"]).alias("before")))).alias("r")).select("r.*")
+    rank = F.row_number().over(Window.partitionBy("zone", "part").orderBy("k", "path")) - 1
+    return split.withColumn("rank", rank).join(begun, ["zone", "part"]).select((F.col("before") + F.col("rank")).cast("int").alias("pos"), "path")
+
+
 def ordered_list(current: DataFrame, added: DataFrame) -> DataFrame:
     """A file list after files were added: unseen paths only; new PDFs go behind the last file that is none, others to the end.
 
@@ -87,7 +102,7 @@ def ordered_list(current: DataFrame, added: DataFrame) -> DataFrame:
     anchor = current.agg(F.coalesce(F.max(F.when(~F.lower("path").endswith(".pdf"), F.col("pos"))), F.when(F.count(F.lit(1)) == 0, F.lit(-1)).otherwise(F.max("pos"))).alias("anchor"))
     old = current.crossJoin(F.broadcast(anchor)).select("path", F.when(F.col("pos") <= F.col("anchor"), F.lit(0)).otherwise(F.lit(2)).alias("zone"), F.col("pos").cast("long").alias("k"))
     new = fresh.select("path", F.when(F.col("is_pdf"), F.lit(1)).otherwise(F.lit(3)).alias("zone"), F.col("ord").cast("long").alias("k"))
-    return old.unionByName(new).select((F.row_number().over(Window.orderBy("zone", "k")) - 1).alias("pos"), "path")
+    return numbered(old.unionByName(new))
 
 
 def run_batch(files: DataFrame, job: Job, convert: Callable[[Column], Column], convert_text: Callable[[str], str], pdf_decoder: Callable[[bytes], list[str]] | None = None, convert_name: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -120,12 +135,12 @@ def append_list(current: DataFrame, added: DataFrame) -> DataFrame:
     """A file list after a drop: unseen paths at the end, in their order. current: pos, path; added: ord, path."""
     fresh = added.join(current.select("path"), "path", "left_anti").groupBy("path").agg(F.min("ord").cast("long").alias("k"))
     both = current.select("path", F.lit(0).alias("zone"), F.col("pos").cast("long").alias("k")).unionByName(fresh.select("path", F.lit(1).alias("zone"), "k"))
-    return both.select((F.row_number().over(Window.orderBy("zone", "k")) - 1).alias("pos"), "path")
+    return numbered(both)
 
 
 def remove_from_list(current: DataFrame, removed: DataFrame) -> DataFrame:
     """A file list without the given paths, numbered anew."""
-    return current.join(removed.select("path"), "path", "left_anti").select((F.row_number().over(Window.orderBy("pos")) - 1).alias("pos"), "path")
+    return numbered(current.join(removed.select("path"), "path", "left_anti").select("path", F.lit(0).alias("zone"), F.col("pos").cast("long").alias("k")))
 
 
 def convert_selection(t: Column, start: int, length: int | None, convert: Callable[[Column], Column]) -> Column:

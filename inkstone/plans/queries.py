@@ -12,6 +12,7 @@ from ..functions import convert as cv
 from ..functions import lines as ln
 from ..functions import text as tx
 from ..operators import archive as ar
+from ..operators import dialog as dg
 from ..operators import pages as pg
 from ..operators import reflow as rf
 from ..sources import files as fs
@@ -370,8 +371,8 @@ _register(
     _sql_lines() + f", k AS (SELECT {_SID}, repeat(left(line, CAST(doc_id % 12 AS INTEGER)), part_no % 5) AS t FROM l) SELECT {_SID}, {_unit} AS token FROM k",
 )
 def _depths(spark: SparkSession, sf: str) -> DataFrame:
-    t = tx.split_lines(F.translate(F.lower("text"), _FROM, _TO))
-    return _read(spark, sf, "documents").select("doc_id", F.posexplode(tx.dialog_depths(t)).alias("line_no", "d")).select("doc_id", "line_no", *(F.col("d")[k].alias(f"d{k}") for k in range(len(cs.DIALOG_PAIRS))))
+    rows = dg.dialog_depths(_read(spark, sf, "documents").select("doc_id", F.translate(F.lower("text"), _FROM, _TO).alias("text")), ["doc_id"], "text")
+    return rows.select("doc_id", "line_no", *(F.col("depths")[k].alias(f"d{k}") for k in range(len(cs.DIALOG_PAIRS))))
 
 
 def _depths_sql() -> str:
@@ -514,7 +515,7 @@ def _config_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", name.alias("config"), cv.config_id(F.upper(name)).alias("id"), cv.config_name(number).alias("by_id"), cv.is_config_id(number).alias("valid"), cv.config_id(F.lit("nope")).alias("unknown"))
 
 
-_cfg = "CASE WHEN direction = 's2t' THEN CASE region WHEN 'std' THEN 's2t' WHEN 'hk' THEN 's2hk' ELSE 's2tw' || CASE WHEN idioms THEN 'p' ELSE '' END END ELSE CASE region WHEN 'std' THEN 't2s' WHEN 'hk' THEN 'hk2s' ELSE 'tw2s' || CASE WHEN idioms THEN 'p' ELSE '' END END END"
+_cfg = "CASE WHEN idioms THEN CASE direction WHEN 's2t' THEN 's2twp' ELSE 'tw2sp' END WHEN region = 'std' THEN direction WHEN direction = 's2t' THEN 's2' || region ELSE region || '2s' END"
 _register(
     "config_resolution",
     _config_resolution,
@@ -543,13 +544,30 @@ CASE code WHEN 2 THEN 'zh-Hans (简体)' WHEN 1 THEN 'zh-Hant (繁体)' ELSE 'no
 )
 
 
+def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Phrases: each token of the derived texts of two to eight characters that begins with one of a few, to the same reversed; a second stage for single characters."""
+    words = _read(spark, sf, "documents").select(F.explode(F.split(F.translate(F.lower("text"), _FROM, _TO), r"[ \n]+")).alias("key")).where(F.length("key").between(2, 8) & F.left("key", F.lit(1)).isin("一", "十", "书", "发", "「")).distinct()
+    phrases = words.select(F.lit("s2t").alias("config"), F.lit(1).alias("stage"), "key", F.concat(F.lit("〔"), F.reverse("key"), F.lit("〕")).alias("value"))
+    return phrases.unionByName(spark.createDataFrame([("s2t", 1, "体", "體"), ("s2t", 2, "體", "躰"), ("s2t", 2, "发", "發")], "config string, stage int, key string, value string"))
+
+
 def _phrases(spark: SparkSession, sf: str) -> DataFrame:
-    entries = [("s2t", 1, "一人", "壹位"), ("s2t", 1, "体", "體"), ("s2t", 1, "日本港", "東洋埠"), ("s2t", 2, "體", "躰")]
-    convert = cv.converter(spark, cv.load_dictionary(spark.createDataFrame(entries, "config string, stage int, key string, value string"), "s2t"), "s2t", punctuation=True)
+    convert = cv.converter(cv.load_dictionary(_dictionary(spark, sf), "s2t"), "s2t", punctuation=True)
     return cjk_lines(spark, sf).select(*_ID, convert(F.col("line")).alias("line"))
 
 
-_register("convert_phrases", _phrases, _sql_lines() + f"SELECT {_SID}, translate(replace(replace(replace(replace(line, '日本港', '東洋埠'), '一人', '壹位'), '体', '體'), '體', '躰'), '“”‘’', '「」『』') AS line FROM l")
+# the longest key at a place, from left to right: at each place the keys that fit there, then a walk that passes over what it took
+_register(
+    "convert_phrases",
+    _phrases,
+    "WITH RECURSIVE " + _sql_lines().removeprefix("WITH ")
+    + f""", d AS (SELECT DISTINCT w AS key, '〔' || reverse(w) || '〕' AS val FROM (SELECT unnest(regexp_split_to_array(translate(lower(text), '{_FROM}', '{_TO}'), '[ \n]+')) AS w FROM documents) WHERE length(w) BETWEEN 2 AND 8 AND left(w, 1) IN ('一', '十', '书', '发', '「')
+UNION ALL SELECT '体', '體'),
+fit AS (SELECT {_SID}, i, max_by(key, length(key)) AS key FROM (SELECT {_SID}, i, unnest(range(1, 9)) AS n, line FROM (SELECT *, unnest(range(1, length(line) + 1)) AS i FROM l)) x JOIN d ON d.key = substr(line, i, n) AND length(d.key) = n GROUP BY {_SID}, i),
+places AS (SELECT {_SID}, list(coalesce(length(key), 1) ORDER BY i) AS ns, list(coalesce(val, substr(line, i, 1)) ORDER BY i) AS vs FROM (SELECT *, unnest(range(1, length(line) + 1)) AS i FROM l) LEFT JOIN fit USING ({_SID}, i) LEFT JOIN d USING (key) GROUP BY {_SID}),
+walk AS (SELECT {_SID}, coalesce(ns, []) AS ns, vs, 1 AS i, '' AS done FROM l LEFT JOIN places USING ({_SID}) UNION ALL SELECT {_SID}, ns, vs, i + ns[i], done || vs[i] FROM walk WHERE i <= len(ns))
+SELECT {_SID}, translate(replace(replace(done, '體', '躰'), '发', '發'), '“”‘’', '「」『』') AS line FROM walk WHERE i > len(ns)""",
+)
 
 # --- files, batches, archives ----------------------------------------------------------------------------------------
 

@@ -1,19 +1,22 @@
-"""Column expressions: golden cases, and agreement with the row-local versions that reflow uses."""
+"""Column expressions: golden cases, and agreement with the rules stated anew in brute_reflow."""
 
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from inkstone.functions import charsets as cs
 from inkstone.functions import convert as cv
 from inkstone.functions import lines as ln
 from inkstone.functions import text as tx
 from inkstone.operators import archive as ar
+from inkstone.operators import dialog as dg
 from inkstone.operators import pages as pg
-from inkstone.operators import reflow as rf
 from inkstone.plans import batch as bt
 from inkstone.sources import files as fs
 
+from . import brute_reflow as br
+
 
 def values(spark, texts, *exprs):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
@@ -50,7 +53,7 @@ def test_expressions_agree_with_reflow(spark):
     parts = ["（完）", "第三章", "“走。”", "他说：", "a b", "一）x（", "x x x y", "===", "  　", "(好.)", "番外", "作者：甲", "【a】", "…", "12345678901234567", "abcdabcdabcd"]
     texts = [a + b for a in parts for b in [*parts, ""]]
     got = values(spark, texts, tx.has_unclosed_bracket, tx.has_unclosed_quote, ln.is_heading_like, lambda t: ln.is_title_heading(tx.lstrip(t)), ln.is_metadata, ln.ends_sentence, ln.ends_with_bracket, ln.collapse_repeats)
-    want = [(rf.brackets_open(t), rf.quotes_open(t), rf.is_heading(t), rf.is_title(t.lstrip(" \t\r\n　")), rf.is_metadata(t), rf.ends_sentence(t), rf.is_bracketed(t), rf.collapse_repeats(t)) for t in texts]
+    want = [(br.bracket_issue(t), br.quote_issue(t), br.heading(t), br.title(t.lstrip(" \t\r\n　")), br.metadata(t), br.sentence_end(t), br.bracket_end(t), br.collapse(t)) for t in texts]
     assert [(t, g) for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
 
 
@@ -89,12 +92,31 @@ def test_brackets_nest(spark):
     rng = random.Random(4)
     kinds = "()（）[]【】《》a "
     texts = ["".join(rng.choice(kinds) for _ in range(rng.randint(0, 12))) for _ in range(400)] + ["（" * 500 + "）" * 500, "(" * 500 + ")" * 499]
-    assert [r[0] for r in values(spark, texts, tx.has_unclosed_bracket)] == [rf.brackets_open(t) for t in texts]
+    assert [r[0] for r in values(spark, texts, tx.has_unclosed_bracket)] == [br.bracket_issue(t) for t in texts]
+
 
+def test_dialog_depths(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "“a\nb”\n”「\n『"), (2, None), (3, "")], "i int, t string")
+    got = {(r.i, r.line_no): list(r.depths) for r in dg.dialog_depths(df, ["i"], "t").collect()}
+    assert got == {(1, 0): [1, 0, 0, 0, 0, 0], (1, 1): [0] * 6, (1, 2): [0, 0, 1, 0, 0, 0], (1, 3): [0, 0, 1, 1, 0, 0], (3, 0): [0] * 6}
+    monkeypatch.setattr(dg, "RANGE", 3)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("“”‘’「」﹁﹂a\n\n") for _ in range(rng.randint(0, 120))) for _ in range(60)]
+    found = {(r.i, r.line_no): list(r.depths) for r in dg.dialog_depths(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), ["i"], "t").collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        depth = [0] * 6
+        for no, line in enumerate(t.split("\n")):
+            for c in line:
+                for k, (x, y) in enumerate(cs.DIALOG_PAIRS):
+                    depth[k] = depth[k] + 1 if c == x else max(0, depth[k] - 1) if c == y else depth[k]
+            want[i, no] = list(depth)
+    assert found == want
 
-def test_dialog_depths(spark):
-    df = spark.createDataFrame([(["“a", "b”", "”「", "『"],)], "l array<string>").select(tx.dialog_depths(F.col("l")).alias("d"))
-    assert [list(x) for x in df.first()["d"]] == [[1, 0, 0, 0, 0, 0], [0] * 6, [0, 0, 1, 0, 0, 0], [0, 0, 1, 1, 0, 0]]
+
+def test_dialog_depths_of_many_lines(spark):
+    df = spark.createDataFrame([(1, "“a\n" * 50_000 + "b”\n" * 60_000)], "i int, t string")
+    assert dg.dialog_depths(df, ["i"], "t").agg(F.count("*"), F.max(F.col("depths")[0]), F.max_by(F.col("depths")[0], "line_no")).first()[:] == (110_001, 50_000, 0)
 
 
 def test_pages(spark):
@@ -110,15 +132,45 @@ def test_configs(spark):
     assert cv.Options(region="tw").resolve() == "s2twp"
     # asking for idioms selects Taiwan
     assert (cv.Options(idioms=True).resolve(), cv.Options("t2s", "hk", True).resolve()) == ("s2twp", "tw2sp")
+    rows = [(d, r, i) for d in ("s2t", "t2s") for r in ("std", "hk", "tw") for i in (True, False, None)]
+    df = spark.createDataFrame(rows, "d string, r string, i boolean").select("d", "r", "i", cv.resolve_config(F.col("d"), F.col("r"), F.col("i")).alias("c"))
+    assert [x.c for x in df.collect()] == [cv.Options(*x).resolve() for x in rows]
     assert values(spark, ["S2TWP", "nope"], cv.config_id) == [(3,), (1,)]
     assert values(spark, ["“你好”‘a’"], lambda t: cv.convert_punctuation(t, "s2t")) == [("「你好」『a』",)]
 
 
 def test_staged_dictionary(spark):
-    stages = cv.Stages([(1, "头", "頭"), (1, "头发", "頭髮"), (1, "发", "發"), (2, "頭髮", "髮")])
-    assert stages.apply("头发发头") == "髮發頭"
-    convert = cv.converter(spark, stages, "s2t")
-    assert values(spark, ["头发发头", "", None], convert) == [("髮發頭",), ("",), (None,)]
+    rows = [("s2t", 1, "头", "頭"), ("s2t", 1, "头发", "頭髮"), ("s2t", 1, "发", "發"), ("s2t", 2, "頭髮", "髮"), ("s2t", 1, "", "x"), ("t2s", 1, "头", "x"), ("s2t", 3, "。", "."), ("s2t", 1, "a.b", "")]
+    stages = cv.load_dictionary(spark.createDataFrame(rows, "config string, stage int, key string, value string"), "s2t")
+    convert = cv.converter(stages, "s2t")
+    assert values(spark, ["头发发头。a.bb a", "", None, "“x”", "\uf8ff头\uf8ff"], convert) == [("髮發頭.b a",), ("",), (None,), ("“x”",), ("\uf8ff頭\uf8ff",)]
+    assert values(spark, ["“头”"], cv.converter(stages, "s2t", punctuation=True)) == [("「頭」",)]
+
+
+def test_large_dictionary(spark):
+    """A hundred thousand keys that begin, end and overlap like each other, against a walk through the text."""
+    rng = random.Random(9)
+    chars = [chr(0x4E00 + i) for i in range(3000)] + ["𠀀", "𠀁", "é", ".", "[", "\\"]
+    table = {}
+    while len(table) < 100_000:
+        k = "".join(rng.choice(chars) for _ in range(rng.choice([1, 2, 2, 3, 4, 7])))
+        table[k] = k[::-1] + "#"
+    keys = list(table)
+    texts = ["".join(rng.choice(keys if rng.random() < 0.7 else chars) for _ in range(60)) for _ in range(200)]
+
+    def walk(t):
+        out, i = "", 0
+        while i < len(t):
+            n = next((n for n in range(7, 0, -1) if t[i : i + n] in table and len(t[i : i + n]) == n), 0)
+            out += table[t[i : i + n]] if n else t[i]
+            i += n or 1
+        return out
+
+    rows = spark.createDataFrame([("s2t", 1, k, v) for k, v in table.items()], "config string, stage int, key string, value string")
+    convert = cv.converter(cv.load_dictionary(rows, "s2t"), "s2t")
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", convert(F.col("t")).alias("c"))
+    assert "Python" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.c for r in df.collect()] == [walk(t) for t in texts]
 
 
 def test_icu_tables(spark):
@@ -199,6 +251,15 @@ def test_streaming(spark, tmp_path):
     assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["漢"]
 
 
+def test_long_lists_are_numbered_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(bt, "_RANGE", 7)
+    now = spark.createDataFrame([(i, f"{i}.txt") for i in range(50)], "pos int, path string")
+    new = spark.createDataFrame([(i, f"{i}.txt") for i in range(30, 90)], "ord int, path string")
+    got = bt.append_list(now, new)
+    assert [tuple(r) for r in got.orderBy("pos").collect()] == [(i, f"{i}.txt") for i in range(90)]
+    assert [r.path for r in bt.remove_from_list(got, new).orderBy("pos").collect()] == [f"{i}.txt" for i in range(30)]
+
+
 def test_list_edits_and_selection(spark):
     now = spark.createDataFrame([(0, "a.txt"), (1, "b.pdf")], "pos int, path string")
     new = spark.createDataFrame([(0, "c.pdf"), (1, "a.txt"), (2, "d")], "ord int, path string")
