@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,7 @@ from ..operators import archive as ar
 from ..operators import dialog as dg
 from ..operators import pages as pg
 from ..operators import reflow as rf
+from ..sources import archives as sa
 from ..sources import files as fs
 from . import batch as bt
 
@@ -172,10 +175,15 @@ _register(
     _last_prev,
     _sql_lines() + f"SELECT {_SID}, left(ltrim(line, '{cs.WS_CHARS}'), 1) AS first, {_last('line')} AS last, CAST(length(rtrim(line, '{cs.WS_CHARS}')) - 1 AS INTEGER) AS last_index, {_last(_head('line'))} AS prev, {_last('left(line, 5)')} AS before_fifth FROM l",
 )
+def _counted(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.concat("text", F.lit("𠀀a"), F.translate("lang", "ef", "𠀀😀"))
+    return _read(spark, sf, "documents").select("doc_id", tx.utf16_length(t).cast("long").alias("units"), cv.char_count_label(t).alias("label"))
+
+
 _register(
     "char_count_utf16",
-    lambda spark, sf: _read(spark, sf, "documents").select("doc_id", tx.utf16_length(F.concat("text", F.lit("𠀀a"), F.translate("lang", "ef", "𠀀😀"))).cast("long").alias("units")),
-    r"SELECT doc_id, CAST(length(t) + len(regexp_extract_all(t, '[\x{10000}-\x{10FFFF}]')) AS BIGINT) AS units FROM (SELECT doc_id, text || '𠀀a' || translate(lang, 'ef', '𠀀😀') AS t FROM documents)",
+    _counted,
+    r"SELECT doc_id, units, format('{:,}', units) AS label FROM (SELECT doc_id, CAST(length(t) + len(regexp_extract_all(t, '[\x{10000}-\x{10FFFF}]')) AS BIGINT) AS units FROM (SELECT doc_id, text || '𠀀a' || translate(lang, 'ef', '𠀀😀') AS t FROM documents))",
 )
 _register(
     "utf8_prefix",
@@ -205,7 +213,8 @@ def _classes() -> list[tuple[str, Callable[[], Column], str]]:
         ("mostly", lambda: tx.is_mostly_cjk(_mixed()), _mostly(smixed)),
         ("all_cjk", lambda: tx.is_all_cjk(_line()), _m("line", rf"^[{cs.CJK}]+\z")),
         ("all_cjk_ws", lambda: tx.is_all_cjk(_line(), True), f"({_m('line', rf'^[{cs.CJK}{cs.WS}]+\z')} AND {_m('line', f'[{cs.CJK}]')})"),
-        ("digits", lambda: tx.is_all_digits(F.col("part_no").cast("string")), "true"),
+        ("digits", lambda: tx.is_all_digits(F.concat(F.col("part_no").cast("string"), F.when(F.col("line_no") % 2 == 0, F.lit("")).otherwise(F.left(_line(), F.lit(1))))), _m("part_no || CASE WHEN line_no % 2 = 0 THEN '' ELSE left(line, 1) END", r"^[0-9]+\z")),
+        ("white", lambda: tx.is_whitespace(F.substring(_line(), 3, 1)), _m("substr(line, 3, 1)", f"^[{cs.WS}]$")),
     ]
 
 
@@ -605,10 +614,10 @@ SELECT ord, st AS status, (ord + 1) || ': ' || CASE WHEN st IN ('not_found', 'un
 
 def _pdf_tests(spark: SparkSession, sf: str) -> DataFrame:
     data = F.concat(F.repeat(F.lit("x"), F.pmod("page_id", F.lit(70)).cast("int")), F.lit("%PDF-1.7"), F.lit("y")).cast("binary")
-    return _read(spark, sf, "pages").select("page_id", fs.is_pdf_content(data).alias("anywhere"), fs.is_pdf_start(data).alias("first"), fs.is_pdf_name(fs.extension(F.concat("url", F.lit(".pdf")))).alias("named"))
+    return _read(spark, sf, "pages").select("page_id", fs.is_pdf_content(data).alias("anywhere"), fs.is_pdf_start(data).alias("first"), fs.is_pdf_name(fs.extension(F.concat("url", F.when(F.col("page_id") % 2 == 0, F.lit(".PDF")).otherwise(F.lit(".pdf.txt"))))).alias("named"))
 
 
-_register("pdf_tests", _pdf_tests, "SELECT page_id, page_id % 70 <= 59 AS anywhere, page_id % 70 = 0 AS first, true AS named FROM pages")
+_register("pdf_tests", _pdf_tests, "SELECT page_id, page_id % 70 <= 59 AS anywhere, page_id % 70 = 0 AS first, page_id % 2 = 0 AS named FROM pages")
 
 _ENTRIES = ("word/document.xml", "word/header1.xml", "xl/sharedStrings.xml", "xl/worksheets/sheet1.xml", "ppt/slides/slide3.xml", "ppt/notesSlides/notesSlide1.xml", "content.xml", "OEBPS/Ch1.XHTML", "a/../b", "/abs", "a\\b", "a..b", "", "ppt/slides/slide1.rels")
 _FORMATS = ("docx", "xlsx", "pptx", "odt", "epub", "zip")
@@ -662,4 +671,35 @@ def _roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("archive_id", "success", "fragments").join(text, "archive_id")
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one in local mode where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="inkstone-")
+    return f"{base.rstrip('/')}/inkstone/{uuid.uuid4().hex}"
+
+
+def _archive_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Archives of fifty pages each, written as files and read as entries, in parts of 4 KB."""
+
+    def build(frame):
+        import pandas as pd
+
+        rows = sorted(zip(frame["page_id"], frame["html"], strict=True))
+        entries = [{"ord": i, "name": f"pages/{p}.html", "is_dir": False, "data": (h or "").encode()} for i, (p, h) in enumerate(rows)]
+        return pd.DataFrame({"name": [f"{rows[0][0] // 50}.zip"], "data": [ar.write_entries(entries, "zip")]})
+
+    folder = _scratch(spark)
+    built = _read(spark, sf, "pages").select("page_id", "html").groupBy(F.floor(F.col("page_id") / 50)).applyInPandas(build, "name string, data binary")
+    failed = fs.write_files(built.withColumn("out_path", F.concat(F.lit(folder + "/"), "name"))).where("status <> 'done'").count()
+    if failed:
+        raise OSError(f"{failed} archives could not be written")
+    rows = sa.read_archives(spark, folder, split=4096)
+    archive = F.regexp_extract("path", r"([0-9]+)\.zip$", 1).cast("long")
+    return rows.select(archive.alias("archive"), "name", "size", "status", F.col("data").cast("string").alias("text"))
+
+
+_register("archive_source", _archive_source, "SELECT page_id // 50 AS archive, 'pages/' || page_id || '.html' AS name, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS size, 'done' AS status, coalesce(html, '') AS text FROM pages")
 _register("archive_roundtrip", _roundtrip, """SELECT page_id AS archive_id, true AS success, 1 AS fragments, translate(coalesce(html, ''), 'ae', '人书') AS text FROM pages WHERE coalesce(html, '') NOT LIKE '%font-family%'""")
