@@ -42,8 +42,7 @@ def word(rng):
     return "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(3, 9)))
 
 
-@pytest.mark.xfail(reason="lines meet on whole runs of words, so typos all over a line part them; see the README", strict=False)
-@pytest.mark.parametrize("words", [20])
+@pytest.mark.parametrize("words", [12, 20, 60])
 def test_letters_changed_all_over_a_line(spark, words):
     """One letter changed in every k-th word leaves an edit similarity of 0.92 and more: such lines are one group."""
     rng = random.Random(words)
@@ -62,3 +61,23 @@ def test_letters_changed_all_over_a_line(spark, words):
     for k in (2, 3, 4, 5, 6, 8):
         mine = [i for i, p in enumerate(pairs) if p[0] == k]
         assert sum(2 * i + 1 in gone for i in mine) >= 0.9 * len(mine), k
+
+
+def test_lines_that_share_an_opening_only(spark, monkeypatch):
+    """The pairs that are compared grow with the number of lines, not with its square."""
+    compared = []
+    met = lines._met
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return met(pairs, *rest)
+
+    monkeypatch.setattr(lines, "_met", counted)
+    totals = []
+    for n in (500, 2000):
+        rng = random.Random(n)
+        rows = [(i, "posted by some member on this board " + " ".join(word(rng) for _ in range(14))) for i in range(n)]
+        compared.clear()
+        assert lines.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+        totals.append(sum(compared))
+    assert totals[1] < 6 * totals[0] and totals[1] < 2000 * 40

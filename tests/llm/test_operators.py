@@ -586,14 +586,22 @@ def test_line_dedup_of_long_lines_and_clashing_columns(spark):
     assert sorted((r.doc_id, r.text, r._gone, r._row_key, r.n_lines_removed) for r in got.collect()) == [(i, "" if i in (1, 4) else t, i, f"n{i}", int(i in (1, 4))) for i, t in enumerate(texts)]
 
 
-def test_simhash(spark):
+def test_line_sketches():
     rng = random.Random(4)
-    texts = [" ".join(f"v{rng.randrange(5000)}" for _ in range(n)) for n in (1, 15, 16, 64, 512)]
-    of_words = lambda x: F.expr(f"transform(array(split(norm, ' ')), ws -> {x})[0]")
-    df = spark.createDataFrame([(t,) for t in texts], "norm string")
-    for r in df.select("norm", of_words(lines.simhash()).alias("s"), of_words(f"IF(size(ws) > 1, {lines._runs('ws', 2)}, array())").alias("h")).collect():
-        h = sorted(set(r.h))[:63]
-        assert r.s == (sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(60)) if len(r.norm.split()) >= 16 else None)
+    texts = ["", "short", "a" * 1000, *("".join(rng.choice("abc \u4e00\U0001f600") for _ in range(n)) for n in (11, 12, 47, 48, 300, 301, 5000)), None]
+    got = lines.sketch(pa.array(texts)).to_pylist()
+    assert got == [x for t in texts for x in lines.sketch(pa.array([t])).to_pylist()]
+    for t, g in zip(texts, got, strict=True):
+        t = t or ""
+        codes = np.array([ord(c) for c in t], np.uint64)
+        runs = sorted(set(lines._run_hashes(codes, 6).tolist()))[: lines.KEYS]
+        blocks = 4 if len(t) >= lines.SIM_CHARS else 0
+        assert len(g["keys"]) == (len(runs) if len(t) >= 12 else 0) + blocks
+        assert set(lines._mixed(np.array(runs if len(t) >= 12 else [], np.uint64) >> np.uint64(12)).view(np.int64).tolist()) <= set(g["keys"])
+        h = lines._run_hashes(codes, 4)
+        for name, x in (("s", h), ("s2", lines._mixed(h + np.uint64(1)))):
+            bits = sum((2 * sum(v >> b & 1 for v in x.tolist()) > len(x)) << b for b in range(64))
+            assert g[name] == (int(np.uint64(bits).view(np.int64)) if blocks else None)
 
 
 def test_line_dedup_finds_what_edit_distance_finds(spark):
