@@ -13,6 +13,7 @@ from ..functions import text as tx
 from ..operators import archive as ar
 from ..operators.pages import extract_documents
 from ..sources import files as fs
+from ..sources import sink
 
 
 @dataclass(frozen=True)
@@ -131,6 +132,25 @@ def run_batch(files: DataFrame, job: Job, convert: Callable[[Column], Column], c
     return out.where("status = 'done'").drop("status"), log_lines(finished)
 
 
+def save_batch(results: DataFrame, log: DataFrame, staging: str) -> tuple[DataFrame, DataFrame]:
+    """Writes the results of a batch by one commit: (log, progress).
+
+    A file that can't be written has the status write_error in the log, whatever was planned for it; rows whose output another row of the list
+    overwrites keep theirs. progress: status, n, total, one row per status, whose n add up to the log's rows. Calling it again after a failure
+    goes on with the batch that was staged.
+    """
+    spark = results.sparkSession
+    written = sink.save_files(results, staging, order_col="ord")
+    failed = results.select("ord", "out_path").join(written.where("status = 'write_error'").select(F.col("path").alias("out_path")), "out_path").select("ord", "out_path")
+    marked = log.join(failed, "ord", "left")
+    line = F.concat((F.col("ord") + 1).cast("string"), F.lit(": "), F.col("out_path"), F.lit(f" -> {MESSAGES['write_error']}"))
+    told = marked.select("ord", F.when(F.col("out_path").isNotNull(), F.lit("write_error")).otherwise(F.col("status")).alias("status"), F.when(F.col("out_path").isNotNull(), line).otherwise(F.col("line")).alias("line"))
+    # written, so that texts are not converted once more for each look at the log
+    told.write.mode("overwrite").parquet(f"{staging}/told")
+    told = spark.read.parquet(f"{staging}/told")
+    return told, told.groupBy("status").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(told.agg(F.count(F.lit(1)).alias("total"))))
+
+
 def append_list(current: DataFrame, added: DataFrame) -> DataFrame:
     """A file list after a drop: unseen paths at the end, in their order. current: pos, path; added: ord, path."""
     fresh = added.join(current.select("path"), "path", "left_anti").groupBy("path").agg(F.min("ord").cast("long").alias("k"))

@@ -19,6 +19,7 @@ from ..operators import pages as pg
 from ..operators import reflow as rf
 from ..sources import archives as sa
 from ..sources import files as fs
+from ..sources import sink
 from . import batch as bt
 
 QUERIES: dict = {}
@@ -701,5 +702,16 @@ def _archive_source(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(archive.alias("archive"), "name", "size", "status", F.col("data").cast("string").alias("text"))
 
 
+def _file_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's text saved as a file by one commit, and the files read back."""
+    folder = _scratch(spark)
+    rows = _read(spark, sf, "documents").select(F.concat(F.lit(f"{folder}/out/"), F.pmod("doc_id", F.lit(64)).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("out_path"), F.col("text").cast("binary").alias("data"))
+    saved = sink.save_files(rows, f"{folder}/staging").select(F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long").alias("doc_id"), "status", F.col("sha256").alias("written"))
+    sink.abort_files(f"{folder}/staging/data")
+    read = fs.read_files(spark, f"{folder}/out/*").select(F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long").alias("doc_id"), "length", F.sha2("content", 256).alias("sha256"))
+    return saved.join(read, "doc_id").select("doc_id", "status", "length", "sha256", (F.col("written") == F.col("sha256")).alias("same"))
+
+
+_register("file_sink", _file_sink, "SELECT doc_id, 'done' AS status, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS length, sha256(coalesce(text, '')) AS sha256, true AS same FROM documents")
 _register("archive_source", _archive_source, "SELECT page_id // 50 AS archive, 'pages/' || page_id || '.html' AS name, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS size, 'done' AS status, coalesce(html, '') AS text FROM pages")
 _register("archive_roundtrip", _roundtrip, """SELECT page_id AS archive_id, true AS success, 1 AS fragments, translate(coalesce(html, ''), 'ae', '人书') AS text FROM pages WHERE coalesce(html, '') NOT LIKE '%font-family%'""")
