@@ -81,3 +81,31 @@ def test_lines_that_share_an_opening_only(spark, monkeypatch):
         assert lines.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
         totals.append(sum(compared))
     assert totals[1] < 6 * totals[0] and totals[1] < 2000 * 40
+
+
+def test_links_within_large_buckets_apart_from_their_leaders(spark):
+    """Near copies of many lines of the same few words meet in no bucket of their own, nor do its leaders connect them; all pairs of blocks find them."""
+    rng = random.Random(21)
+    words = [word(rng) for _ in range(8)]
+    rows = []
+    for i in range(120):
+        a = [rng.choice(words) for _ in range(40)]
+        b = list(a)
+        for k in rng.sample(range(40), 3):
+            b[k] = rng.choice(words)
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    lost = lines.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.kept_doc_id) for r in lost) == [(2 * i + 1, 2 * i) for i in range(120)]
+
+
+@pytest.mark.parametrize("block", [5, 1000])
+def test_blocks_of_a_bucket_hold_all_its_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(lines, "BLOCK", block)
+    rng = random.Random(22)
+    bits = [sum(1 << b for b in rng.sample(range(62), 12)) for _ in range(60)]
+    rows = [(k, 60, i, rng.randrange(40, 90), i % 7, [bits[i] * (i % 9 > 0)] + [0] * 7) for k in (3, 4) for i in range(60)]
+    rows = [(k, size, a, n if k == 3 else n + 7, c, b) for k, size, a, n, c, b in rows]
+    got = lines._pairs_in_large(spark.createDataFrame(rows, "key long, size long, a long, n int, component long, bits array<long>"), 80).collect()
+    near = lambda x, y: 100 * min(x[3], y[3]) >= 80 * max(x[3], y[3]) and (not x[5][0] * y[5][0] or (x[5][0] & y[5][0]).bit_count() >= lines.SHARED * 12)
+    want = {(x[2], y[2]) for x in rows for y in rows if x[0] == y[0] and x[2] < y[2] and x[4] != y[4] and near(x, y)}
+    assert sorted((r.u, r.v) for r in got) == sorted(want) and len(want) > 100
