@@ -4,6 +4,7 @@ import random
 import string
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,31 @@ def test_blocks_of_a_bucket_hold_all_its_pairs(spark, monkeypatch, block):
     near = lambda x, y: 100 * min(x[3], y[3]) >= 80 * max(x[3], y[3]) and (not x[5][0] * y[5][0] or (x[5][0] & y[5][0]).bit_count() >= lines.SHARED * 12)
     want = {(x[2], y[2]) for x in rows for y in rows if x[0] == y[0] and x[2] < y[2] and x[4] != y[4] and near(x, y)}
     assert sorted((r.u, r.v) for r in got) == sorted(want) and len(want) > 100
+
+
+def test_parts_are_encoded_in_joined_strings(monkeypatch):
+    """Parts from inside a row share strings (64 calls became one), and have the ids that they have alone; special tokens inside a text too."""
+    from tokenizers import Tokenizer
+
+    from inkstone.llm import packing
+    from inkstone.llm._bytes import blocks
+
+    rng = random.Random(23)
+    encoder, plain = packing.PartEncoder(packing.default_vocabulary()), Tokenizer.from_file(packing.default_vocabulary())
+    special = sorted(set(plain.get_vocab()) - set(plain.get_vocab(with_added_tokens=False)))[:1] or ["<|endoftext|>"]
+    pieces = [word(rng) for _ in range(400)] + ["a\nb", "中文", "\U0001f600x", "it's", "x　y", "12,5", *special]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randrange(300))) + rng.choice(["", " ", "\n ", "  "]) for _ in range(30)] + ["", " ", "  a", None]
+    strings, batch = [], encoder.tokenizer.encode_batch_fast
+
+    class Counting:
+        def encode_batch_fast(self, some, **kw):
+            strings.extend(some)
+            return batch(some, **kw)
+
+    encoder.tokenizer = Counting()
+    got = []
+    for b in blocks(pa.array(texts), size=1 << 20):
+        ids, first = encoder.encode(b)
+        got += [ids[x:y].tolist() for x, y in zip(first[:-1], first[1:], strict=True)]
+    assert got == [plain.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert len(strings) < len(encoder.keys) / 2
