@@ -706,10 +706,10 @@ def _file_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's text saved as a file by one commit, and the files read back."""
     folder = _scratch(spark)
     rows = _read(spark, sf, "documents").select(F.concat(F.lit(f"{folder}/out/"), F.pmod("doc_id", F.lit(64)).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("out_path"), F.col("text").cast("binary").alias("data"))
-    saved = sink.save_files(rows, f"{folder}/staging").select(F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long").alias("doc_id"), "status", F.col("sha256").alias("written"))
+    found = sink.read_back(sink.save_files(rows, f"{folder}/staging"))
     sink.abort_files(f"{folder}/staging/data")
-    read = fs.read_files(spark, f"{folder}/out/*").select(F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long").alias("doc_id"), "length", F.sha2("content", 256).alias("sha256"))
-    return saved.join(read, "doc_id").select("doc_id", "status", "length", "sha256", (F.col("written") == F.col("sha256")).alias("same"))
+    doc_id = F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long")
+    return found.select(doc_id.alias("doc_id"), "status", F.col("found_length").alias("length"), F.col("found_sha256").alias("sha256"), (F.col("sha256") == F.col("found_sha256")).alias("same"))
 
 
 _register("file_sink", _file_sink, "SELECT doc_id, 'done' AS status, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS length, sha256(coalesce(text, '')) AS sha256, true AS same FROM documents")

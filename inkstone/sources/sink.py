@@ -6,6 +6,7 @@
 2. `commit_files` moves what the log names to its place, in parallel. A move that was done before is seen by the file that is there, so
    a commit that was cut short (a lost executor or driver) is simply called again and goes on.
 3. `abort_files` removes the staging folder. Before the log is complete, nothing has been moved.
+4. `read_back` reads files by the paths of a table, such as the result of a commit, in parallel.
 
 Folders are shared by driver and executors: with a scheme (hdfs, s3, gs, file) on that file system, else a folder that all mount. Only names and
 sizes go through the log; the driver handles no file.
@@ -113,6 +114,31 @@ def commit_files(spark: SparkSession, staging: str) -> DataFrame:
     return spark.read.parquet(result)
 
 
+def read_back(files: DataFrame, path_col: str = "path") -> DataFrame:
+    """files with what is at their paths now: found_length and found_sha256 (both null where no file is).
+
+    Each file is read where its row is, so that no listing goes through the driver; empty files, which Spark's own scans leave out, have their row.
+    """
+    columns = files.columns
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in files.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            lengths, digests = [], []
+            for path in frame[path_col]:
+                length = digest = None
+                if path is not None:
+                    store, name = file_system(path)
+                    info = store.get_file_info(name)
+                    if info.type == fs.FileType.File:
+                        length, digest = info.size, _sha256(store, name)
+                lengths.append(length)
+                digests.append(digest)
+            yield frame.assign(found_length=pd.array(lengths, "Int64"), found_sha256=digests)
+
+    return files.mapInPandas(run, f"{kinds}, found_length long, found_sha256 string").select(*(F.col(f"`{c}`") for c in columns), "found_length", "found_sha256")
+
+
 def abort_files(staging: str) -> None:
     """Remove the staging folder, with what any attempt left there."""
     store, base = file_system(staging)

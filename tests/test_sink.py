@@ -88,6 +88,15 @@ def test_a_batch_is_saved_and_told(spark, tmp_path):
     assert files(tmp_path / "out") == {f"{tmp_path}/out/a_s2t.txt": b"ONE", f"{tmp_path}/out/c_s2t": b"THREE"}
 
 
+def test_files_are_read_back(spark, tmp_path):
+    rows = [(f"{tmp_path}/out/a", b"one"), (f"file://{tmp_path}/out/b", b""), (f"{tmp_path}/out/c", None)]
+    saved = sink.save_files(spark.createDataFrame(rows, "path string, data binary"), f"{tmp_path}/staging", "path").select("path", "sha256")
+    (tmp_path / "out" / "c").unlink()
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    got = {r.path.rpartition("/")[2]: (r.sha256, r.found_length, r.found_sha256) for r in sink.read_back(saved).collect()}
+    assert got == {"a": (digest(b"one"), 3, digest(b"one")), "b": (digest(b""), 0, digest(b"")), "c": (digest(b""), None, None)}
+
+
 KILLED = """
 import os, sys
 from pyspark.sql import SparkSession
