@@ -705,10 +705,12 @@ def _archive_source(spark: SparkSession, sf: str) -> DataFrame:
 def _file_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's text saved as a file by one commit, and the files read back."""
     folder = _scratch(spark)
-    rows = _read(spark, sf, "documents").select(F.concat(F.lit(f"{folder}/out/"), F.pmod("doc_id", F.lit(64)).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("out_path"), F.col("text").cast("binary").alias("data"))
+    # a null id has a name of its own
+    name = F.concat_ws("/", F.coalesce(F.pmod("doc_id", F.lit(64)), F.lit(64)).cast("string"), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(".txt")))
+    rows = _read(spark, sf, "documents").select(F.concat(F.lit(f"{folder}/out/"), name).alias("out_path"), F.col("text").cast("binary").alias("data"))
     found = sink.read_back(sink.save_files(rows, f"{folder}/staging"))
     sink.abort_files(f"{folder}/staging/data")
-    doc_id = F.regexp_extract("path", r"([0-9]+)\.txt$", 1).cast("long")
+    doc_id = F.nullif(F.regexp_extract("path", r"/(-?[0-9]*)[a-z]*\.txt$", 1), F.lit("")).cast("long")
     return found.select(doc_id.alias("doc_id"), "status", F.col("found_length").alias("length"), F.col("found_sha256").alias("sha256"), (F.col("sha256") == F.col("found_sha256")).alias("same"))
 
 

@@ -6,10 +6,12 @@ import subprocess
 import sys
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from inkstone.plans import batch as batches
+from inkstone.plans import queries
 from inkstone.sources import sink
 
 
@@ -97,6 +99,16 @@ def test_files_are_read_back(spark, tmp_path):
     assert got == {"a": (digest(b"one"), 3, digest(b"one")), "b": (digest(b""), 0, digest(b"")), "c": (digest(b""), None, None)}
 
 
+def test_query_with_empty_texts_and_odd_ids(spark, tmp_path):
+    rows = [(1, "one"), (-1, "minus one"), (2, ""), (3, None), (None, "no id"), (64, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT doc_id, status, length, sha256, same FROM ({queries.ORACLE_SQL['file_sink']})").fetchall()
+    got = [tuple(r) for r in queries.QUERIES["file_sink"](spark, str(tmp_path)).select("doc_id", "status", "length", "sha256", "same").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == len(rows)
+
+
 KILLED = """
 import os, sys
 from pyspark.sql import SparkSession
