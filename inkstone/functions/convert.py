@@ -155,8 +155,8 @@ def load_dictionary(dictionary: DataFrame, config: str) -> Stages:
     """
     rows = dictionary.where((F.col("config") == config) & (F.col("key") != "")).groupBy("stage", "key").agg(F.max("value").alias("value"))
     stages: dict[int, dict[str, str]] = {}
-    for r in rows.toLocalIterator():
-        stages.setdefault(r.stage, {})[r.key] = r.value or ""
+    for stage, key, value in zip(*rows.toArrow().to_pydict().values(), strict=True):
+        stages.setdefault(stage, {})[key] = value or ""
     return Stages([stages[s] for s in sorted(stages)])
 
 
@@ -169,17 +169,24 @@ def _hash(key: str) -> int:
 
 
 def _lookup(table: dict[str, str]) -> Callable[[Column], Column]:
-    """A Column function from keys to values: a constant array that has at the place of a key's checksum the few entries with it, so that a look-up takes one step."""
+    """A Column function from keys of the table to values: a constant array that has at the place of a key's checksum the few entries with it, so that a look-up takes one step."""
     many = 1 << max(4, (len(table) - 1).bit_length())
     used = set("".join(table)) | set("".join(table.values()))
     # characters for private use, of which no text of the table has any, part buckets, entries, and keys from values
     marks = [c for c in map(chr, range(0xE000, 0xF8FF)) if c not in used][:3]
     buckets: list[list[str]] = [[] for _ in range(many)]
     for k, v in table.items():
-        buckets[_hash(k) % many].append(k + marks[2] + v)
+        buckets[_hash(k) % many].append(marks[1] + k + marks[2] + v)
     # a split of a literal is folded into an array literal
-    constant = F.split(F.lit(marks[0].join(marks[1].join(b) for b in buckets)), marks[0], -1)
-    return lambda key: F.coalesce(F.str_to_map(F.get(constant, F.pmod(F.crc32(key), F.lit(many)).cast("int")), F.lit(marks[1]), F.lit(marks[2]))[key], F.lit(""))
+    constant = F.split(F.lit(marks[0].join(map("".join, buckets))), marks[0], -1)
+
+    def value(key: Column) -> Column:
+        # what stands behind the key, up to the next entry; a map made of the bucket took four times as long
+        bucket = F.get(constant, F.pmod(F.crc32(key), F.lit(many)).cast("int"))
+        behind = F.call_function("substring_index", bucket, F.concat(F.lit(marks[1]), key, F.lit(marks[2])), F.lit(-1))
+        return F.substring_index(behind, marks[1], 1)
+
+    return value
 
 
 def converter(stages: Stages, config: str, punctuation: bool = False) -> Callable[[Column], Column]:
@@ -221,6 +228,27 @@ def converter(stages: Stages, config: str, punctuation: bool = False) -> Callabl
     return convert
 
 
+def lines_converter(stages: Stages, config: str, punctuation: bool = False) -> Callable[[Column], Column]:
+    """The same for arrays of texts, each of them converted on its own.
+
+    Spark compares a stage's pattern as a whole for each text that it is applied to, which costs more than a line as soon as a dictionary has thousands
+    of keys; so the texts of an array are joined by a mark that the dictionary does not have. Arrays with a text that has the mark take the slower way.
+    """
+    convert = converter(stages, config, punctuation)
+    used = {c for table in stages.entries for k, v in table.items() for c in k + v} | {_BEGIN, _END}
+    mark = next(c for c in map(chr, range(0xF8FF, 0xDFFF, -1)) if c not in used)
+
+    def at_once(texts: Column) -> Column:
+        whole = tx.bound(F.array_join(texts, mark, ""), convert)
+        return F.zip_with(texts, F.split(whole, mark, -1), lambda t, x: F.when(t.isNotNull(), x))
+
+    def convert_all(texts: Column) -> Column:
+        one_by_one = F.size(texts) == 0, F.exists(texts, lambda t: F.contains(t, F.lit(mark)))
+        return F.when(one_by_one[0] | F.coalesce(one_by_one[1], F.lit(False)), F.transform(texts, convert)).otherwise(at_once(texts))
+
+    return lambda texts: tx.bound(texts, convert_all)
+
+
 def icu_char_tables(spark: SparkSession) -> tuple[str, str, str, str]:
     """(simplified, its traditional, traditional, its simplified): one-to-one tables from Spark's own ICU library."""
     jvm = spark._jvm.com.ibm.icu.text.Transliterator

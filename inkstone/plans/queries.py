@@ -562,8 +562,16 @@ def _dictionary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _phrases(spark: SparkSession, sf: str) -> DataFrame:
-    convert = cv.converter(cv.load_dictionary(_dictionary(spark, sf), "s2t"), "s2t", punctuation=True)
-    return cjk_lines(spark, sf).select(*_ID, convert(F.col("line")).alias("line"))
+    convert = cv.lines_converter(cv.load_dictionary(_dictionary(spark, sf), "s2t"), "s2t", punctuation=True)
+
+    def slices(full: Column, line_no: Column) -> Column:
+        last = F.greatest(F.floor((F.length(full) - 1) / _WIDTH), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(line_no.alias("line_no"), k.alias("part_no"), F.substring(full, k * _WIDTH + 1, F.lit(_WIDTH)).alias("line")))
+
+    # the lines of a document are converted together, in one row
+    parts = F.flatten(F.transform(tx.split_lines(F.translate(F.lower("text"), _FROM, _TO)), slices))
+    done = tx.bound(parts, lambda p: F.zip_with(p, convert(p["line"]), lambda x, line: F.struct(x["line_no"].alias("line_no"), x["part_no"].alias("part_no"), line.alias("line"))))
+    return _read(spark, sf, "documents").select("doc_id", F.inline(done))
 
 
 # the longest key at a place, from left to right: at each place the keys that fit there, then a walk that passes over what it took

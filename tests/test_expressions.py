@@ -270,3 +270,14 @@ def test_list_edits_and_selection(spark):
     files = spark.createDataFrame([("a.exe", b"x")], "path string, content binary")
     assert bt.preview(files).first()["text"] == "Not a valid text file."
     assert fs.decode_utf16le("汉\0".encode("utf-16-le")) == "汉" and fs.decode_utf16le(b"\x00\xd8a\x00") == "\ufffda"
+
+
+def test_lines_are_converted_together(spark):
+    stages = cv.Stages([{"ab": "X", "abc": "Y", "c": "ZZ", "\uf8fd": "mark"}, {"X": "x", "Y": "y"}])
+    lines = ["abcab", "", None, "ab", "c\ncab", "a", "b", "\uf8fc", "\uf8fd\uf8ff", "“c”"]
+    rows = [(k, x) for k, x in enumerate([lines, lines[:7], [], None, [None], [""], ["a", "b"], ["\uf8fcab", "c"]])]
+    df = spark.createDataFrame(rows, "k int, x array<string>")
+    one, all_ = cv.converter(stages, "s2t", True), cv.lines_converter(stages, "s2t", True)
+    got = {r.k: (r.together, r.alone) for r in df.select("k", all_(F.col("x")).alias("together"), F.transform("x", one).alias("alone")).collect()}
+    assert got[1] == (["yx", "", None, "x", "ZZ\nZZx", "a", "b"],) * 2
+    assert all(a == b for a, b in got.values()) and got[3] == (None, None) and len(got) == len(rows)
