@@ -187,22 +187,41 @@ def is_wrapped(t: Column) -> Column:
     return (F.length(t) >= 3) & (closer != "") & (closer == last_char(t))
 
 
+def class_ranges(chars: str) -> str:
+    """The characters as the inside of a class, neighbours as ranges: a class is tried part by part."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, set(chars))):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out)
+
+
+_OPEN, _CLOSE = "".join(a for a, _ in cs.BRACKETS), "".join(b for _, b in cs.BRACKETS)
+#: What is no bracket; runs of common characters are passed by at once.
+_NO_BRACKETS = rf"[\x{{3400}}-\x{{9FFF}}A-Za-z0-9 ]++|[^{class_ranges(_OPEN + _CLOSE)}]++"
+
+
 def has_unclosed_bracket(t: Column) -> Column:
     """Whether brackets of all kinds fail to nest: left open, closed without being open, or crossed.
 
-    The text is cut down to its brackets first; the fold keeps the closers that are still due, nearest first.
+    The text is cut down to its brackets first. Most that fail to nest begin with a closer or end with an opener; for the others the fold keeps the
+    closers that are still due, nearest first.
     """
-    chars = "".join(a + b for a, b in cs.BRACKETS)
     # neighbours that match nest wherever they are, and are most of what there is
     pairs = "|".join(f"[{cs.escaped(a)}][{cs.escaped(b)}]" for a, b in cs.BRACKETS)
-    only = F.regexp_replace(F.regexp_replace(t, f"[^{cs.escaped(chars)}]+", ""), pairs, "")
+    only = F.regexp_replace(F.regexp_replace(t, _NO_BRACKETS, ""), pairs, "")
 
     def step(due: Column, c: Column) -> Column:
-        closer = matching_closer(c)
-        return F.when(due == "!", due).when(closer != "", F.concat(closer, due)).when(F.left(due, F.lit(1)) == c, F.substring(due, F.lit(2), F.length(due))).otherwise(F.lit("!"))
+        closer = F.translate(c, _OPEN, _CLOSE)
+        return F.when(due == "!", due).when(closer != c, F.concat(closer, due)).when(F.left(due, F.lit(1)) == c, F.substring(due, F.lit(2), F.length(due))).otherwise(F.lit("!"))
+
+    def nests(o: Column) -> Column:
+        astray = F.left(o, F.lit(1)).isin(*_CLOSE) | F.right(o, F.lit(1)).isin(*_OPEN)
+        return F.when(o == "", F.lit(False)).when(astray, F.lit(True)).otherwise(F.aggregate(F.split(o, ""), F.lit(""), step) != "")
 
-    nests = bound(only, lambda o: F.when(o == "", F.lit(False)).otherwise(F.aggregate(F.split(o, ""), F.lit(""), step) != ""))
-    return F.when(~contains_any(t, chars), F.lit(False)).otherwise(nests)
+    return F.when(t.isNotNull(), bound(only, nests))
 
 
 def _depth_fails(only: Column, opener: Column, wrap: int | None = None) -> Column:

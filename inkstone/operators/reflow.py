@@ -46,21 +46,10 @@ def _any(*tests: Column) -> Column:
     return _reduce(lambda x, y: F.when(x, F.lit(True)).otherwise(y), tests)
 
 
-def _ranges(chars: str) -> str:
-    """The characters as the inside of a class, neighbours as ranges: a class is tried part by part."""
-    out: list[list[int]] = []
-    for c in sorted(map(ord, set(chars))):
-        if out and out[-1][1] == c - 1:
-            out[-1][1] = c
-        else:
-            out.append([c, c])
-    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in out)
-
-
 #: What is no bracket, quote or dialog mark; runs of common characters are passed by at once.
-_NO_MARKS = rf"[\x{{3400}}-\x{{9FFF}}A-Za-z0-9 ]++|[^{_ranges(_OPEN + _CLOSE + _DIALOG)}]++"
-_NO_BRACKETS = f"[^{_ranges(_OPEN + _CLOSE)}]++"
-_CLOSERS = f"[{_ranges(_CLOSE)}]"
+_NO_MARKS = rf"[\x{{3400}}-\x{{9FFF}}A-Za-z0-9 ]++|[^{tx.class_ranges(_OPEN + _CLOSE + _DIALOG)}]++"
+_NO_BRACKETS = f"[^{tx.class_ranges(_OPEN + _CLOSE)}]++"
+_CLOSERS = f"[{tx.class_ranges(_CLOSE)}]"
 
 
 def _nest(due: Column, only: Column) -> Column:

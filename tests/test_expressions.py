@@ -281,3 +281,14 @@ def test_lines_are_converted_together(spark):
     got = {r.k: (r.together, r.alone) for r in df.select("k", all_(F.col("x")).alias("together"), F.transform("x", one).alias("alone")).collect()}
     assert got[1] == (["yx", "", None, "x", "ZZ\nZZx", "a", "b"],) * 2
     assert all(a == b for a, b in got.values()) and got[3] == (None, None) and len(got) == len(rows)
+
+
+def test_brackets_of_random_strings(spark):
+    rng = random.Random(8)
+    pairs = [("（", "）"), ("(", ")"), ("【", "】")]
+    texts = ["", None, "字", "（" * 30 + "字" + "）" * 30, "（" * 30 + "字" + "）" * 29, "(（)）", "（)", ")(", "【（字）】(a)", "a⟨b⟩{c"]
+    for _ in range(600):
+        texts.append("".join(rng.choice([*rng.choice(pairs), "字", "a", " "]) for _ in range(rng.randint(1, 9))))
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, x string").select("k", tx.has_unclosed_bracket(F.col("x")).alias("y")).collect()
+    got = {r.k: r.y for r in rows}
+    assert got == {k: None if t is None else br.bracket_issue(t) for k, t in enumerate(texts)} and set(got.values()) == {True, False, None}
