@@ -168,8 +168,8 @@ def _hash(key: str) -> int:
     return zlib.crc32(key.encode())
 
 
-def _lookup(table: dict[str, str]) -> Callable[[Column], Column]:
-    """A Column function from keys of the table to values: a constant array that has at the place of a key's checksum the few entries with it, so that a look-up takes one step."""
+def _lookup(table: dict[str, str]) -> tuple[Column, Callable[[Column, Column], Column]]:
+    """A constant array and a function of it and of keys of the table, which gives their values: the array that has at the place of a key's checksum the few entries with it, so that a look-up takes one step."""
     many = 1 << max(4, (len(table) - 1).bit_length())
     used = set("".join(table)) | set("".join(table.values()))
     # characters for private use, of which no text of the table has any, part buckets, entries, and keys from values
@@ -180,13 +180,13 @@ def _lookup(table: dict[str, str]) -> Callable[[Column], Column]:
     # a split of a literal is folded into an array literal
     constant = F.split(F.lit(marks[0].join(map("".join, buckets))), marks[0], -1)
 
-    def value(key: Column) -> Column:
-        # what stands behind the key, up to the next entry; a map made of the bucket took four times as long
-        bucket = F.get(constant, F.pmod(F.crc32(key), F.lit(many)).cast("int"))
+    def value(buckets: Column, key: Column) -> Column:
+        # what stands behind the key, up to the next entry
+        bucket = F.get(buckets, F.pmod(F.crc32(key), F.lit(many)).cast("int"))
         behind = F.call_function("substring_index", bucket, F.concat(F.lit(marks[1]), key, F.lit(marks[2])), F.lit(-1))
         return F.substring_index(behind, marks[1], 1)
 
-    return value
+    return constant, value
 
 
 def converter(stages: Stages, config: str, punctuation: bool = False) -> Callable[[Column], Column]:
@@ -198,23 +198,28 @@ def converter(stages: Stages, config: str, punctuation: bool = False) -> Callabl
     def staged(table: dict[str, str]) -> Callable[[Column], Column]:
         if all(len(k) == len(v) == 1 for k, v in table.items()):
             return lambda t: F.translate(t, "".join(table), "".join(table.values()))
-        pattern, value = longest_match(table), _lookup(table)
+        constant, look_up = _lookup(table)
+        # bound, since the plan, of which the driver writes several copies, would have both again at each place that uses them
+        tools = F.struct(F.lit(longest_match(table)).alias("pattern"), constant.alias("buckets"))
 
-        def replaced(parts: Column) -> Column:
+        def replaced(parts: Column, x: Column) -> Column:
             def one(part: Column, i: Column) -> Column:
                 key = F.substring_index(part, _END, 1)
-                return F.when(i == 0, part).otherwise(F.concat(value(key), F.substring(part, F.length(key) + 2, F.length(part))))
+                return F.when(i == 0, part).otherwise(F.concat(look_up(x["buckets"], key), F.substring(part, F.length(key) + 2, F.length(part))))
 
             return F.array_join(F.transform(parts, one), "")
 
-        def slowly(t: Column) -> Column:
-            parts = F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("found"), F.split(t, pattern, -1).alias("gaps"))
-            return tx.bound(parts, lambda x: F.concat(F.array_join(F.transform(x["found"], lambda m, i: F.concat(F.get(x["gaps"], i), value(m))), ""), F.get(x["gaps"], F.size(x["found"]))))
+        def slowly(t: Column, x: Column) -> Column:
+            parts = F.struct(F.regexp_extract_all(t, x["pattern"], F.lit(0)).alias("found"), F.split(t, x["pattern"], -1).alias("gaps"))
+            return tx.bound(parts, lambda p: F.concat(F.array_join(F.transform(p["found"], lambda m, i: F.concat(F.get(p["gaps"], i), look_up(x["buckets"], m))), ""), F.get(p["gaps"], F.size(p["found"]))))
 
-        def convert(t: Column) -> Column:
+        def quickly(t: Column, x: Column) -> Column:
             # a split by a pattern makes the pattern anew for each row, so marks are put around what is found
-            parts = F.split(F.regexp_replace(t, pattern, f"{_BEGIN}$0{_END}"), _BEGIN, -1)
-            return F.when(F.contains(t, F.lit(_BEGIN)) | F.contains(t, F.lit(_END)), slowly(t)).otherwise(F.when(t.isNotNull(), tx.bound(parts, replaced)))
+            parts = F.split(F.regexp_replace(t, x["pattern"], F.lit(f"{_BEGIN}$0{_END}")), _BEGIN, -1)
+            return F.when(t.isNotNull(), tx.bound(parts, lambda p: replaced(p, x)))
+
+        def convert(t: Column) -> Column:
+            return tx.bound(tools, lambda x: F.when(F.contains(t, F.lit(_BEGIN)) | F.contains(t, F.lit(_END)), slowly(t, x)).otherwise(quickly(t, x)))
 
         return convert
 
@@ -238,15 +243,16 @@ def lines_converter(stages: Stages, config: str, punctuation: bool = False) -> C
     used = {c for table in stages.entries for k, v in table.items() for c in k + v} | {_BEGIN, _END}
     mark = next(c for c in map(chr, range(0xF8FF, 0xDFFF, -1)) if c not in used)
 
-    def at_once(texts: Column) -> Column:
-        whole = tx.bound(F.array_join(texts, mark, ""), convert)
-        return F.zip_with(texts, F.split(whole, mark, -1), lambda t, x: F.when(t.isNotNull(), x))
-
     def convert_all(texts: Column) -> Column:
-        one_by_one = F.size(texts) == 0, F.exists(texts, lambda t: F.contains(t, F.lit(mark)))
-        return F.when(one_by_one[0] | F.coalesce(one_by_one[1], F.lit(False)), F.transform(texts, convert)).otherwise(at_once(texts))
+        alone = F.coalesce(F.exists(texts, lambda t: F.contains(t, F.lit(mark))), F.lit(False))
+        units = F.when(alone, texts).otherwise(F.array(F.array_join(texts, mark, "")))
+        # one place that converts, since the plan holds the dictionary at each
+        return tx.bound(F.transform(units, convert), lambda x: F.zip_with(texts, F.when(alone, x).otherwise(F.split(x[0], mark, -1)), lambda t, c: F.when(t.isNotNull(), c)))
+
+    def checked(texts: Column) -> Column:
+        return F.when(F.size(texts) == 0, texts).otherwise(convert_all(texts))
 
-    return lambda texts: tx.bound(texts, convert_all)
+    return lambda texts: tx.bound(texts, checked)
 
 
 def icu_char_tables(spark: SparkSession) -> tuple[str, str, str, str]:
